@@ -93,11 +93,14 @@ def explode_matches(
     keys: Sequence[str],
     text: str = "text",
     carry: Sequence[str] = (),
+    with_gap: bool = False,
 ) -> DataFrame:
     """One row per match: ``keys``, ``carry``, ``n`` (0-based), ``start``, ``end``, ``match``.
 
     ``keys`` must identify a row of ``df``; the first one is the document key.
+    ``with_gap`` adds ``gap``, the text between the previous match and this one.
     """
+    extra = [F.col("_z.gap").alias("gap")] if with_gap else []
     pieces = df.select(
         *keys,
         *carry,
@@ -107,13 +110,13 @@ def explode_matches(
                 F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hit"),
             )
         ).alias("n", "_z"),
-    ).select(*keys, *carry, "n", F.char_length("_z.gap").alias("_gap"), F.col("_z.hit").alias("match"))
+    ).select(*keys, *carry, "n", F.char_length("_z.gap").alias("_gap"), *extra, F.col("_z.hit").alias("match"))
     w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.char_length("match")
     return (
         pieces.withColumn("end", F.sum(F.col("_gap") + F.coalesce(size, F.lit(0))).over(w).cast("int"))
         .where(F.col("match").isNotNull())
-        .select(*keys, *carry, "n", (F.col("end") - size).alias("start"), "end", "match")
+        .select(*keys, *carry, "n", (F.col("end") - size).alias("start"), "end", "match", *(["gap"] if with_gap else []))
     )
 
 

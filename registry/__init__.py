@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per operator family."""
 
-from . import structure  # noqa: F401
+from . import rules, structure  # noqa: F401
 from .core import ORACLE, QUERIES, with_stages
 
 
