@@ -242,9 +242,15 @@ def unit_interval_hash(key: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix."""
-    limit = F.least(F.char_length(a), F.char_length(b))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(limit, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
-    return F.when(limit == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, limit))
+
+    def measure(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        limit = F.least(F.char_length(x), F.char_length(y))
+        at = F.sequence(F.lit(1), F.greatest(limit, F.lit(1)))
+        differs = F.filter(at, lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
+        return F.when(limit == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(differs, F.lit(1)) - 1, limit))
+
+    return let(F.struct(a.alias("x"), b.alias("y")), measure)
 
 
 def minimal_change(before: Column, after: Column) -> Column:

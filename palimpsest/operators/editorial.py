@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import SENTENCE, WORD, explode_matches, match_spans
+from ..functions.spans import SENTENCE, WORD, explode_matches, let, match_spans
 from ..functions.text import (
     ENCLITIC,
     PARTICLES,
@@ -334,18 +334,21 @@ def _plain(text: Column) -> Column:
 
 def near_spelling(a: Column, b: Column) -> Column:
     """At most one edit apart, a swap of neighbouring letters counting as one."""
-    x, y = _plain(a), _plain(b)
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1)))
-    differ = F.filter(at, lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
-    p, q = F.try_element_at(differ, F.lit(1)), F.try_element_at(differ, F.lit(2))
-    swap = (
-        (F.char_length(x) == F.char_length(y))
-        & (F.size(differ) == 2)
-        & (q == p + 1)
-        & (F.substring(x, p, F.lit(1)) == F.substring(y, q, F.lit(1)))
-        & (F.substring(x, q, F.lit(1)) == F.substring(y, p, F.lit(1)))
-    )
-    return (F.levenshtein(x, y) <= 1) | F.coalesce(swap, F.lit(False))
+
+    def swapped(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        at = F.sequence(F.lit(1), F.greatest(F.char_length(x), F.lit(1)))
+        differ = F.filter(at, lambda i: F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1)))
+
+        def crossed(d: Column) -> Column:
+            p, q = F.try_element_at(d, F.lit(1)), F.try_element_at(d, F.lit(2))
+            same = lambda u, i, v, k: F.substring(u, i, F.lit(1)) == F.substring(v, k, F.lit(1))
+            return (F.size(d) == 2) & (q == p + 1) & same(x, p, y, q) & same(x, q, y, p)
+
+        return (F.char_length(x) == F.char_length(y)) & F.coalesce(let(differ, crossed), F.lit(False))
+
+    both = F.struct(_plain(a).alias("x"), _plain(b).alias("y"))
+    return let(both, lambda z: (F.levenshtein(z["x"], z["y"]) <= 1) | swapped(z))
 
 
 def _besides_inside_clause(text: Column, start: Column, excerpt: Column) -> Column:

@@ -51,6 +51,9 @@ stage(
 SELECT lower(word) AS word FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5) w""",
 )
 
+stage("finite_words", "SELECT word FROM lexicon WHERE flags & 1 <> 0")
+stage("before_verb", "SELECT unnest(['me','te','lhe','lhes','nos','vos','o','a','os','as','não','nunca','já']) AS word")
+
 # ---- D: surface rules -------------------------------------------------------------------------
 stage("noisy_comma", sql_matches("noisy", ",{2,}|;{2,}", "doc_id, paragraph").replace('"match"', "hit_text"))
 stage("noisy_dots", sql_matches("noisy", r"\.+", "doc_id, paragraph").replace('"match"', "hit_text"))
@@ -220,7 +223,9 @@ def d14(spark, sf):
 
 @query(
     "d14_doubled_known_words",
-    """SELECT doc_id, paragraph, "start", "end", word FROM doubled WHERE word IN (SELECT word FROM lexicon WHERE flags <> 0)""",
+    """SELECT doc_id, paragraph, "start", "end", word FROM doubled WHERE word IN (SELECT word FROM lexicon WHERE flags <> 0) AND (word <> 'se' OR NOT coalesce(
+  following[1] IN (SELECT word FROM finite_words) OR (following[1] IN (SELECT word FROM before_verb) AND (following[2] IN (SELECT word FROM finite_words) OR (following[2] IN (SELECT word FROM before_verb)
+   AND (following[3] IN (SELECT word FROM finite_words) OR (following[3] IN (SELECT word FROM before_verb) AND following[4] IN (SELECT word FROM finite_words)))))), false))""",
 )
 def d14b(spark, sf):
     known = R.doubled_words(paragraphs(spark, sf).drop("lang", "source"), lexicon(spark, sf))
