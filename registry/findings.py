@@ -143,12 +143,12 @@ def b17(spark, sf):
 
 @query(
     "b17_minimal_change",
-    """SELECT doc_id, paragraph, "start"::INT AS "start", "end"::INT AS "end", after FROM (SELECT doc_id, paragraph, b AS "start", b + 1 AS "end", '⟦!' AS after FROM edit_points) e""",
+    """SELECT doc_id, paragraph, "start"::INT AS "start", "end"::INT AS "end", after FROM (SELECT doc_id, paragraph, b AS "start", b + 1 AS "end", '⟦⟧' AS after FROM edit_points) e""",
 )
 def b17b(spark, sf):
     half = F.expr("char_length(text) div 2").cast("int")
     lines = paragraphs(spark, sf).where(F.char_length("text") >= 8)
-    changed = F.concat(F.substring("text", F.lit(1), half), F.lit("⟦!"), F.substring("text", half + 2, F.char_length("text")))
+    changed = F.concat(F.substring("text", F.lit(1), half), F.lit("⟦⟧"), F.substring("text", half + 2, F.char_length("text")))
     return lines.withColumn("_c", T.minimal_change(F.col("text"), changed)).select("doc_id", "paragraph", "_c.start", "_c.end", "_c.after")
 
 
