@@ -126,7 +126,12 @@ def colocate(df: DataFrame, key: str = "doc_id") -> DataFrame:
     Everything exploded from the result keeps the partitioning, so windows over
     (document, …) run without another exchange.  A document is one input row,
     so no task ever holds more than its share of whole rows.
+
+    Spark 4.1 may treat a union of such branches as still partitioned by document;
+    together with a reused exchange its branches are then not aligned and a
+    ``distinct`` above keeps duplicates.  That inference is switched off here.
     """
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return df.repartition(F.col(key))
 
 

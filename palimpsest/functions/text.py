@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import WORD, let, match_spans
@@ -184,6 +184,31 @@ def occurrence_ordinal(text: Column, start: Column, end: Column) -> Column:
     )
 
 
+def with_occurrence(df: DataFrame, keys: Sequence[str] = ("doc_id", "paragraph")) -> DataFrame:
+    """Adds ``which`` and ``total`` of each range, reading every (paragraph, excerpt) once.
+
+    Many ranges of a paragraph often mark the same text; its occurrences are
+    listed once per distinct excerpt and joined back by position.
+    """
+    place = [*keys, "_excerpt"]
+    marked = df.withColumn("_excerpt", excerpt(F.col("text"), F.col("start"), F.col("end")))
+    starts = whole_word_starts(F.col("text"), F.col("_excerpt"))
+    listed = (
+        marked.groupBy(*place).agg(F.any_value("text").alias("text")).withColumn("_starts", starts).select(
+            *place, F.size("_starts").alias("_total"), F.posexplode_outer("_starts").alias("_at", "start")
+        )
+    )
+    totals = listed.groupBy(*place).agg(F.max("_total").alias("_total"))
+    ranks = listed.where("start IS NOT NULL").select(*place, "start", (F.col("_at") + 1).alias("_which"))
+    return (
+        marked.join(totals, place)
+        .join(ranks, [*place, "start"], "left")
+        .withColumn("which", F.coalesce("_which", F.lit(1)))
+        .withColumn("total", F.greatest("_total", F.lit(1)))
+        .drop("_excerpt", "_total", "_which")
+    )
+
+
 def fold_signs(text: Column) -> Column:
     """One-to-one folding of quotes, apostrophes, dashes and case (length is kept)."""
     return F.lower(F.translate(text, DOUBLE_QUOTES + "„" + SINGLE_QUOTES + DASHES + NO_BREAK_SPACE, '""""""\'\'-- '))

@@ -48,14 +48,15 @@ def votes(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     ``findings``: doc_id (report), book, report_time, finding_id, text, start, end and
     classification columns; ``decisions``: doc_id, finding_id, decision.
     """
+    marked = excerpt(F.col("text"), F.col("start"), F.col("end"))
     decided = (
         findings.withColumn("class", statistical_class(findings))
+        # The paragraph itself never travels: its digest is the key.
+        .withColumn("_place", F.sha2(F.concat_ws("\u0001", "text", marked, F.col("start").cast("string")), 256))
+        .drop("text")
         .join(decisions.select("doc_id", "finding_id", "decision"), ["doc_id", "finding_id"])
         .withColumn("outcome", _outcome(F.col("decision")))
         .where("outcome IS NOT NULL")
-        .withColumn("_excerpt", excerpt(F.col("text"), F.col("start"), F.col("end")))
-        # The paragraph itself never travels: its digest is the key.
-        .withColumn("_place", F.sha2(F.concat_ws("\u0001", "text", "_excerpt", F.col("start").cast("string")), 256))
     )
     extra = [c for c in ("source", "checker_category", "checker_type") if c in decided.columns]
     row = F.struct(

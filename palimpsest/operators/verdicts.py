@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import occurrence_ordinal, short_hash, stripped
+from ..functions.spans import let
+from ..functions.text import short_hash, stripped, with_occurrence
 from .findings import overlap_join
 from .relations import dependency_cycles
 
@@ -87,27 +88,35 @@ def _without_marks(text: Column) -> Column:
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Adds the answer fields and ``refusal`` (null when the contract holds).  Input: ``answer`` (JSON text)."""
+    """Adds the answer fields and ``refusal`` (null when the contract holds).  Input: ``answer`` (JSON text).
+
+    The whole contract is one expression over one parse, so a filter on
+    ``refusal`` that moves down the plan does not parse again per field.
+    """
     fields = [f.split(" ")[0] for f in ANSWER.split(", ")]
-    parsed = answers.withColumn("_a", F.from_json("answer", ANSWER))
-    present = F.json_object_keys("answer")
-    missing = F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), F.coalesce(present, F.array().cast("array<string>")))) > 0
-    outside = F.lit(False)
-    for name, allowed in (
+    enums = (
         ("existe", EXISTS), ("natureza", NATURE), ("certeza", CERTAINTY), ("gravidade", GRAVITY),
         ("justificativa_detector", JUSTIFICATION), ("razao_literaria", REASON),
-    ):
-        outside = outside | ~F.coalesce(F.col(f"_a.{name}").isin(*allowed), F.lit(False))
-    typed = F.lit(False)
-    for name in fields:
-        typed = typed | F.col(f"_a.{name}").isNull()
-    refusal = (
-        F.when(F.col("_a").isNull() | present.isNull(), "nao_e_objeto")
-        .when(missing, "campo_ausente")
-        .when(outside, "valor_fora_da_enumeracao")
-        .when(typed, "tipo_invalido")
     )
-    return parsed.withColumn("refusal", refusal).select(*answers.columns, "_a.*", "refusal")
+
+    def contract(z: Column) -> Column:
+        a, present = z["a"], z["present"]
+        missing = F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), present)) > 0
+        outside, typed = F.lit(False), F.lit(False)
+        for name, allowed in enums:
+            outside = outside | ~F.coalesce(a[name].isin(*allowed), F.lit(False))
+        for name in fields:
+            typed = typed | a[name].isNull()
+        return (
+            F.when(a.isNull() | present.isNull(), "nao_e_objeto")
+            .when(missing, "campo_ausente")
+            .when(outside, "valor_fora_da_enumeracao")
+            .when(typed, "tipo_invalido")
+        )
+
+    parsed = F.struct(F.from_json("answer", ANSWER).alias("a"), F.json_object_keys("answer").alias("present"))
+    both = let(parsed, lambda z: F.struct(z["a"].alias("a"), contract(z).alias("refusal")))
+    return answers.withColumn("_p", both).select(*answers.columns, "_p.a.*", F.col("_p.refusal").alias("refusal"))
 
 
 def _covers(text: Column, start: Column, end: Column, fragment: Column) -> Column:
@@ -120,17 +129,16 @@ def _covers(text: Column, start: Column, end: Column, fragment: Column) -> Colum
 def derive_state(items: DataFrame) -> DataFrame:
     """State of each judged item from its answer and the checks of authenticity and place.
 
-    ``items``: doc_id, finding_id, decision, text, start, end, ``context`` (texts that
+    ``items``: doc_id, finding_id, decision, paragraph, text, start, end, ``context`` (texts that
     were sent, the paragraph included) and the answer fields of ``parse_answers``.
     Adds state, adequacy, reason, motive, priority and whether the evidence covers the target.
     """
     quote, target = _without_marks(F.col("evidencia_razao")), _without_marks(F.col("evidencia"))
     anywhere = lambda q: (q != "") & F.exists("context", lambda t: F.contains(t, q))
-    place = occurrence_ordinal(F.col("text"), F.col("start"), F.col("end"))
     df = (
-        items.withColumn("_quote", quote)
+        with_occurrence(items)
+        .withColumn("_quote", quote)
         .withColumn("_target", target)
-        .withColumn("_place", place)
         .withColumn("_quoted", anywhere(F.col("_quote")))
         .withColumn("_found", anywhere(F.col("_target")))
         .withColumn("covers", _covers(F.col("text"), F.col("start"), F.col("end"), F.col("_target")))
@@ -149,7 +157,7 @@ def derive_state(items: DataFrame) -> DataFrame:
         | ((F.col("existe") == "sim") & (F.col("razao_literaria") == "nao_se_aplica"))
     )
     weak = (
-        F.when(F.col("ocorrencia") != F.col("_place.which"), "ocorrencia_divergente")
+        F.when(F.col("ocorrencia") != F.col("which"), "ocorrencia_divergente")
         .when((stripped(F.col("explicacao")) == "") | (F.col("_target") == ""), "evidencia_ausente")
         .when(~F.col("_found"), "evidencia_inexistente")
         .when(~F.col("covers"), "evidencia_de_outra_ocorrencia")
@@ -176,9 +184,7 @@ def derive_state(items: DataFrame) -> DataFrame:
         .withColumn("state", state)
         .withColumn("adequacy", F.when(F.col("state") == "inconclusiva", "indeterminada").otherwise(F.col("_adequacy")))
         .withColumn("priority", F.when(ranked, review_priority(F.col("natureza"), F.col("certeza"), F.col("gravidade"))))
-        .withColumn("which", F.col("_place.which"))
-        .withColumn("total", F.col("_place.total"))
-        .drop("_quote", "_target", "_place", "_quoted", "_found", "_adequacy")
+        .drop("_quote", "_target", "_quoted", "_found", "_adequacy")
     )
 
 

@@ -56,9 +56,10 @@ def own_findings(spark, sf) -> DataFrame:
     """Flat findings with book, identity and report order."""
     lines = paragraphs(spark, sf).withColumnRenamed("source", "book").withColumn("chapter", F.lit(""))
     found = V.rule_findings(narration(lines), None, CATALOGUE)
+    # The identity reads the text before anything moves, so a query that needs no text never shuffles it.
+    found = found.withColumn("finding_id", N.finding_id(found))
     info = table(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("book"))
     named = found.join(info, "doc_id")
-    named = named.withColumn("finding_id", N.finding_id(named))
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id").orderBy("paragraph", "start", "end", "category")

@@ -65,7 +65,8 @@ WHERE stop > "end\"""",
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    """Whole texts hashed by document: the one exchange that later windows and joins by document reuse."""
+    return S.colocate(table(spark, sf, "documents"))
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,8 +74,7 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    located = D.paragraphs(S.colocate(documents(spark, sf)), keep=["lang", "source"])
-    return S.words(located, carry=["lang", "source"])
+    return S.words(paragraphs(spark, sf), carry=["lang", "source"])
 
 
 def manuscript(spark: SparkSession, sf: str) -> DataFrame:

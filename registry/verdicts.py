@@ -96,7 +96,7 @@ def g04(spark, sf):
             F.lit("porque sim").alias("explicacao"), F.lit("").alias("recomendacao"), F.lit("").alias("problema_trecho"), F.lit("").alias("problema_explicacao"),
         )
     )
-    asked = opinions(spark, sf).select("doc_id", "finding_id", "decision", "text", "start", "end", answer.alias("answer"), F.array("text").alias("context"))
+    asked = opinions(spark, sf).select("doc_id", "finding_id", "decision", "paragraph", "text", "start", "end", answer.alias("answer"), F.array("text").alias("context"))
     derived = V.derive_state(V.parse_answers(asked).where("refusal IS NULL"))
     return derived.select("doc_id", "finding_id", "state", "adequacy", "motive", "priority", "covers", "which", "total")
 
@@ -241,9 +241,9 @@ def g07(spark, sf):
 @query(
     "f16_cost_plan",
     """WITH b AS (SELECT source AS plan, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS batch, n_chars / 4.0::DOUBLE AS tokens FROM documents)
-SELECT plan, count(*) AS requests, count(*) * 3 AS items, round(sum(((CASE WHEN batch = 1 THEN 1250.0::DOUBLE * 4 ELSE 100.0::DOUBLE * 4 END) + tokens * 1000.0::DOUBLE + 3100.0::DOUBLE * 5000) / 1e6) * 0.5, 4) AS minimum_usd,
- round(sum(((CASE WHEN batch = 1 THEN 1250.0::DOUBLE * 4 ELSE 100.0::DOUBLE * 4 END) + tokens * 1000.0::DOUBLE + 3100.0::DOUBLE * 5000) / 1e6), 4) AS expected_usd,
- round(sum(((4 + tokens) * 1250.0::DOUBLE + 16000 * 5000.0::DOUBLE) / 1e6), 4) AS maximum_usd, round(max(((4 + tokens) * 1250.0::DOUBLE + 16000 * 5000.0::DOUBLE) / 1e6), 4) AS worst_request_usd FROM b GROUP BY plan""",
+SELECT plan, count(*) AS requests, count(*) * 3 AS items, round(sum(((CASE WHEN batch = 1 THEN 1250.0::DOUBLE * 4 ELSE 100.0::DOUBLE * 4 END) + tokens * 1000.0::DOUBLE + 3100.0::DOUBLE * 5000) / 1e6) * 0.5, 2) AS minimum_usd,
+ round(sum(((CASE WHEN batch = 1 THEN 1250.0::DOUBLE * 4 ELSE 100.0::DOUBLE * 4 END) + tokens * 1000.0::DOUBLE + 3100.0::DOUBLE * 5000) / 1e6), 2) AS expected_usd,
+ round(sum(((4 + tokens) * 1250.0::DOUBLE + 16000 * 5000.0::DOUBLE) / 1e6), 2) AS maximum_usd, round(max(((4 + tokens) * 1250.0::DOUBLE + 16000 * 5000.0::DOUBLE) / 1e6), 2) AS worst_request_usd FROM b GROUP BY plan""",
 )
 def f16(spark, sf):
     w = Window.partitionBy("source").orderBy("doc_id")
@@ -251,7 +251,8 @@ def f16(spark, sf):
         F.col("source").alias("plan"), F.lit("m").alias("model"), F.row_number().over(w).alias("batch"), F.lit(3).cast("long").alias("items"), (F.col("n_chars") / 4.0).alias("tokens")
     )
     prices = spark.createDataFrame([("m", 1000.0, 1250.0, 100.0, 5000.0)], "model string, input double, cache_write double, cache_read double, output double")
-    return M.cost_plan(batches, prices, 4.0, 1000.0, 700.0, 16000.0)
+    plan = M.cost_plan(batches, prices, 4.0, 1000.0, 700.0, 16000.0)
+    return plan.select("plan", "requests", "items", *[F.round(c, 2).alias(c) for c in ("minimum_usd", "expected_usd", "maximum_usd", "worst_request_usd")])
 
 
 # ---- relations --------------------------------------------------------------------------------
