@@ -7,10 +7,12 @@ Heads are bounded-hop joins inside a sentence, never graph walks over a document
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relations import _cut_lineage
 from .rules import FINITE, FUTURE, NONFINITE, NONVERB, PAST, PRESENT, speech_verb
 
 # ---- fixed values -----------------------------------------------------------------------------
@@ -58,31 +60,32 @@ def predicate_head(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("predicate", F.when(F.col("dep").isin(*AUXILIARY_DEPS), F.col("head")).otherwise(F.col("i")))
 
 
-def ancestors(tokens: DataFrame) -> DataFrame:
+def ancestors(tokens: DataFrame, max_depth: int = 200) -> DataFrame:
     """Adds ``path`` (positions from the token's predicate to the root) and ``relations`` along it.
 
-    A sentence is small and bounded, so its heads travel as one map per row group and
-    the walk is a fold of at most its length.
+    One hop per round by an equi-join on the sentence; tokens leave the frontier
+    at their root, so rounds are as many as the deepest tree has levels.
     """
-    tree = tokens.groupBy(*_SENTENCE).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", F.struct("head", "dep")))).alias("_tree")
+    base = _cut_lineage(predicate_head(tokens))
+    links = base.where("head <> i").select(*_SENTENCE, F.col("i").alias("_node"), F.col("head").alias("_up"), F.col("dep").alias("_dep"))
+    frontier = base.select(*_SENTENCE, "i", F.col("predicate").alias("_node"), F.lit(None).cast("string").alias("_dep"), F.lit(0).alias("_k"))
+    seen = [frontier]
+    for depth in range(1, max_depth + 1):
+        hop = frontier.select(*_SENTENCE, "i", "_node").join(links, [*_SENTENCE, "_node"])
+        frontier = _cut_lineage(hop.select(*_SENTENCE, "i", F.col("_up").alias("_node"), "_dep", F.lit(depth).alias("_k")))
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    else:
+        raise ValueError("heads form a cycle or a tree deeper than max_depth")
+    steps = reduce(DataFrame.unionByName, seen)
+    walked = steps.groupBy(*_SENTENCE, "i").agg(F.array_sort(F.collect_list(F.struct("_k", "_node", "_dep"))).alias("_w"))
+    return (
+        base.join(walked, [*_SENTENCE, "i"])
+        .withColumn("path", F.transform("_w", lambda w: w["_node"]))
+        .withColumn("relations", F.transform(F.slice("_w", F.lit(2), F.size("_w")), lambda w: w["_dep"]))
+        .drop("_w")
     )
-    rows = predicate_head(tokens).join(tree, _SENTENCE)
-
-    def step(acc: Column, _: Column) -> Column:
-        at = F.element_at(acc["path"], -1)
-        node = F.try_element_at(F.col("_tree"), at)
-        done = node.isNull() | (node["head"] == at) | F.array_contains(acc["path"], node["head"])
-        return F.when(done, acc).otherwise(
-            F.struct(
-                F.concat(acc["path"], F.array(node["head"])).alias("path"), F.concat(acc["relations"], F.array(node["dep"])).alias("relations")
-            )
-        )
-
-    i_type, dep_type = tokens.schema["i"].dataType.simpleString(), "string"
-    start = F.struct(F.array(F.col("predicate").cast(i_type)).alias("path"), F.array().cast(f"array<{dep_type}>").alias("relations"))
-    walked = F.aggregate(F.map_keys("_tree"), start, step)
-    return rows.withColumn("_w", walked).withColumn("path", F.col("_w.path")).withColumn("relations", F.col("_w.relations")).drop("_tree", "_w")
 
 
 def nearest_anchor(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
