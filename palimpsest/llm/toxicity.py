@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words and stem patterns (word beginnings) that stand out in
-texts labelled toxic. A generative label model estimates from all votes how
-accurate each voter is and which of them move together, without the labels; a
-linear classifier is then trained on the posterior labels of a bounded sample,
-and scores every text.
+texts labelled toxic. A generative label model estimates from the votes on all
+texts how accurate each voter is and which of them move together, anchored by the
+labels that may be learned from; a linear classifier is then trained on the
+posterior labels of a bounded sample, and scores every text.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from . import common as C
 
 #: Lengths of the word beginnings that may become patterns; 0 stands for the whole word.
 STEMS = (0, 5, 6, 7)
-#: A term votes if it stands in this share of the toxic texts and its rate there is so many times that in the others.
-LEAST_SHARE, LEAST_LIFT, LEAST_TEXTS = 0.02, 6.0, 3
+#: A term votes if it stands in this share of the toxic texts, and both its rate and its share of texts are so many times those of the others.
+LEAST_SHARE, LEAST_LIFT, LEAST_TEXTS = 0.02, 5.0, 5
 #: Voters that are kept, terms that are counted in clean texts, texts that the classifier is fitted on.
 VOTERS, CANDIDATES, SAMPLE_TEXTS = 20, 20_000, 20_000
-#: A pattern votes toxic from this many hits and this rate on, and abstains between none and that.
-PATTERN_HITS, PATTERN_RATE = 2, 0.006
+#: A pattern votes toxic from this many hits and this rate on; a lone hit is enough at the other rate.
+PATTERN_HITS, PATTERN_RATE, LONE_RATE = 2, 0.006, 0.04
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -56,14 +56,15 @@ def _hits(text: str, places: dict, sizes: tuple[int, ...]) -> tuple[np.ndarray,
 
 
 def _votes(hits: np.ndarray, words: int, pattern: np.ndarray) -> np.ndarray:
-    """1 toxic, 0 no hit, -1 abstains."""
-    enough = np.where(pattern, (hits >= PATTERN_HITS) & (hits >= PATTERN_RATE * words), hits > 0)
-    return np.where(enough, 1, np.where(hits == 0, 0, -1))
+    """1 where a voter says toxic, -1 where it abstains; last the voter that says clean (0) where no term occurs."""
+    rate = hits / max(words, 1)
+    enough = np.where(pattern, (rate >= PATTERN_RATE) & ((hits >= PATTERN_HITS) | (rate >= LONE_RATE)), hits > 0)
+    return np.append(np.where(enough, 1, -1), -1 if hits.any() else 0)
 
 
 def _features(hits: np.ndarray, words: int, pattern: np.ndarray) -> np.ndarray:
     """Per voter its vote, and its saturated rate."""
-    votes = _votes(hits, words, pattern)
+    votes = _votes(hits, words, pattern)[:-1]
     return np.concatenate([(votes == 1).astype(float), np.minimum(1.0, hits / max(words, 1) / PATTERN_RATE / 4)])
 
 
@@ -102,45 +103,54 @@ def find_terms(labelled: DataFrame) -> list[tuple[str, int]]:
     for key, r in found.items():
         c = other.get(key)
         lift = (r["hits"] / chars[1]) / (((c["hits"] if c else 0) + 0.5) / chars[0])
-        if lift >= LEAST_LIFT:
-            ranked.append((r["texts"] / n[1] * np.log(lift), key))
+        spread = (r["texts"] / n[1]) / (((c["texts"] if c else 0) + 0.5) / n[0])
+        if min(lift, spread) >= LEAST_LIFT:
+            ranked.append((r["texts"] / n[1] * np.log(min(lift, spread)), key))
+    # Of terms that begin alike the one that says most stands for all, and a whole word for its beginnings if it says nearly as much.
+    best = dict((key, value) for value, key in ranked)
     chosen: list[tuple[str, int]] = []
-    for _, (term, k) in sorted(ranked, key=lambda x: (-x[0], x[1])):
-        # Of terms that begin alike, the one that says most stands for all.
-        if len(chosen) < VOTERS and not any(term.startswith(t) or t.startswith(term) for t, _ in chosen):
-            chosen.append((term, k))
+    for value, (term, k) in sorted(ranked, key=lambda x: (-x[0], x[1])):
+        if len(chosen) == VOTERS or any(term.startswith(t) or t.startswith(term) for t, _ in chosen):
+            continue
+        whole = max((w for w in best if w[1] == 0 and w[0].startswith(term) and best[w] >= 0.9 * value), key=lambda w: (best[w], w), default=None)
+        chosen.append(whole or (term, k))
     return chosen
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Accuracies, correlations and posteriors of distinct vote patterns with their counts, by expectation maximisation.
+def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Accuracies, correlations and posteriors of distinct vote patterns, by expectation maximisation.
 
-    A voter that moves with others beyond what the classes explain counts for less.
+    ``counts`` are the texts of each pattern, and ``known`` (two columns) those of them
+    that are labelled clean and toxic: these keep their labels, and the others get
+    those that the votes speak for. A voter that abstains says nothing. The strongest
+    voice counts whole; a further one counts for less the more its voter moves with
+    others beyond what the classes explain.
     """
-    voted, hit = patterns >= 0, patterns == 1
-    post = np.where(hit.any(axis=1), 0.9, 0.02 * np.ones(len(patterns)))
-    weight, corr = np.ones(patterns.shape[1]), np.eye(patterns.shape[1])
-    rates = np.zeros((patterns.shape[1], 2))
+    spoke = np.concatenate([patterns[:, :-1] == 1, patterns[:, -1:] == 0], axis=1)
+    free = np.maximum(counts - known.sum(axis=1), 0)
+    post = np.where(spoke[:, -1], prior / 4, 0.5)
+    weight, corr = np.ones(spoke.shape[1]), np.eye(spoke.shape[1])
+    rates = np.zeros((spoke.shape[1], 2))
     for k in range(rounds):
-        for side, p in enumerate((post, 1 - post)):
-            mass = counts * p
-            rates[:, side] = (mass @ hit + (0.5 if side == 0 else 0.05)) / (mass @ voted + 1.0)
-        share = float(np.clip((counts @ post + prior * 10) / (counts.sum() + 10), 1e-4, 0.5))
+        mass = np.stack([free * post + known[:, 1], free * (1 - post) + known[:, 0]])
+        rates = ((mass @ spoke + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)).T
+        share = float(np.clip(mass[0].sum() / max(mass.sum(), 1), 1e-4, 0.5))
         if k == rounds // 2:
-            corr = _residual(hit, counts, post, rates)
+            corr = _residual(spoke, mass, rates)
             weight = 1 / (1 + np.maximum(corr - np.eye(len(corr)), 0).sum(axis=0))
-        log = lambda r: hit @ (weight * np.log(r)) + (voted & ~hit) @ (weight * np.log1p(-r))
-        odds = np.log(share / (1 - share)) + log(np.clip(rates[:, 0], 1e-6, 1 - 1e-6)) - log(np.clip(rates[:, 1], 1e-6, 1 - 1e-6))
+        said = spoke * np.log(rates[:, 0] / rates[:, 1])
+        first = np.abs(said).argmax(axis=1)[:, None]
+        odds = np.log(share / (1 - share)) + said @ weight + (np.take_along_axis(said, first, 1) * (1 - weight[first]))[:, 0]
         post = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
     return rates, corr, post
 
 
-def _residual(hit: np.ndarray, counts: np.ndarray, post: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def _residual(spoke: np.ndarray, mass: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """Correlation of the votes that is left within the classes."""
-    cov = np.zeros((hit.shape[1],) * 2)
-    for side, p in enumerate((post, 1 - post)):
-        off = hit - rates[:, side]
-        cov += (off * (counts * p)[:, None]).T @ off
+    cov = np.zeros((spoke.shape[1],) * 2)
+    for side in (0, 1):
+        off = spoke - rates[:, side]
+        cov += (off * mass[side][:, None]).T @ off
     scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
     return cov / np.outer(scale, scale)
 
@@ -160,19 +170,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE_
         return Model((), np.zeros((0, 2)), np.zeros((0, 0)), np.array([-3.0]))
     places, pattern, sizes = _places(terms)
     prior = labelled.agg(F.avg("toxic")).first()[0]
-    schema = pa.schema([("votes", pa.binary()), ("count", pa.int64())])
+    schema = pa.schema([("votes", pa.binary()), ("count", pa.int64()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
     def vote(batches):
         for b in batches:
-            found = Counter(_votes(*_hits(t, places, sizes), pattern).astype(np.int8).tobytes() for t in C.texts(b.column(0)))
-            yield C.batch(schema, list(found), list(found.values()))
-
-    # Votes of every text; what is brought here are pattern counts, of which the frequent ones decide.
-    counted = C.written(docs.select("text").mapInArrow(vote, "votes binary, count long").groupBy("votes").agg(F.sum("count").alias("count")), "votes")
+            found: dict[bytes, list] = {}
+            for text, label in zip(C.texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+                own = found.setdefault(_votes(*_hits(text, places, sizes), pattern).astype(np.int8).tobytes(), [0, 0, 0])
+                if label is None:
+                    own[0] += 1
+                else:
+                    own[1 + label] += 1
+            yield C.batch(schema, list(found), *zip(*found.values(), strict=True))
+
+    # Votes of every text, and again of the labelled ones with their labels; what comes here are counts of vote patterns, the frequent ones.
+    every = docs.select("text", F.lit(None).cast("int").alias("toxic")).unionByName(labelled.select("text", F.col("toxic").cast("int").alias("toxic")))
+    counted = every.mapInArrow(vote, "votes binary, count long, clean long, toxic long").groupBy("votes").agg(*[F.sum(c).alias(c) for c in ("count", "clean", "toxic")])
     rows = counted.orderBy(F.desc("count"), "votes").limit(CANDIDATES).collect()
     votes = np.array([np.frombuffer(r["votes"], np.int8) for r in rows], int)
     counts = np.array([r["count"] for r in rows], float)
-    rates, corr, post = label_model(votes, counts, prior)
+    rates, corr, post = label_model(votes, counts, np.array([[r["clean"], r["toxic"]] for r in rows], float), prior)
     posterior = {v.astype(np.int8).tobytes(): p for v, p in zip(votes, post, strict=True)}
 
     def features(batches):
