@@ -92,11 +92,19 @@ def countable(chunk: np.ndarray, across: bool) -> np.ndarray:
     return chunk[:, None] != chunk[None, :] if across else ~np.eye(len(chunk), dtype=bool)
 
 
-def incidence(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` rows holds which of the distinct values, as 0 and 1."""
-    names, at = np.unique(values, return_inverse=True)
-    out = np.zeros((n, len(names)), np.float32)
-    out[rows, at] = 1
+def shared(values: np.ndarray, rows: np.ndarray, n: int, wide: int = 4096) -> np.ndarray:
+    """For each two of ``n`` rows, how many of their distinct values they share; values of one row alone cost nothing."""
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times > 1
+    column, rows = (np.cumsum(often) - 1)[at][often[at]], rows[often[at]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((n, n), np.float32 if len(column) < 1 << 24 else float)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        first, last = np.searchsorted(column, (low, low + wide))
+        part = np.zeros((n, int(column[last - 1]) - low + 1), np.float32)
+        part[rows[first:last], column[first:last] - low] = 1
+        out += part @ part.T
     return out
 
 

@@ -29,8 +29,8 @@ from . import blocks as B
 from . import common as C
 
 WORDS, THRESHOLD, RECALL, LEVELS = 5, 0.8, 0.99, 3
-#: Sets in a bucket that is compared as a whole, and in a chunk of a bucket at the last level.
-SMALL_BUCKET, CHUNK = 128, 128
+#: Sets in a bucket that is not split further; members in a chunk of a bucket for the sketches, and for the exact comparison.
+SMALL_BUCKET, SKETCH_CHUNK, CHUNK = 128, 1024, 256
 SKETCH, MARGIN = 64, 4.0
 _KEPT_WORDS = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -168,8 +168,7 @@ class _Bucket:
         rows = np.repeat(np.arange(e - s), [len(x) for x in lists])
         values = np.array([v for x in lists for v in x], np.int64)
         before = values < key[s]
-        held = B.incidence(values[before], rows[before], e - s)
-        return (held @ held.T == 0) & B.countable(chunk[s:e], across)
+        return (B.shared(values[before], rows[before], e - s) == 0) & B.countable(chunk[s:e], across)
 
 
 class _Candidates(_Bucket):
@@ -213,18 +212,7 @@ class _Links(_Bucket):
         _, _, names, _, size, copies, grams = loaded
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in grams.slice(s, e - s)]
         n = e - s
-        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rows, column = np.repeat(np.arange(n), [len(x) for x in sets]), (np.cumsum(times > 1) - 1)[at]
-        shared = times[at] > 1
-        rows, column = rows[shared], column[shared]
-        order = np.argsort(column, kind="stable")
-        rows, column = rows[order], column[order]
-        common, wide = np.zeros((n, n)), 4096
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-            a, b = np.searchsorted(column, (low, low + wide))
-            part = np.zeros((n, wide), np.float32)
-            part[rows[a:b], column[a:b] - low] = 1
-            common += part @ part.T
+        common = B.shared(np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets]), n).astype(float)
         p, q, total = self.ratio.numerator, self.ratio.denominator, size[s:e, None] + size[None, s:e]
         linked = (common * (p + q) >= p * total) & self.owned(loaded, s, e, across)
         count, label = linked @ copies[s:e], B.gathered(linked)
@@ -272,7 +260,7 @@ def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -
     known = classes.select("id", "first", "copies", "size", "sketch").join(buckets.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("buckets")), "id")
     known = C.written(known, "members")
     listed = known.select(F.explode("buckets").alias("key"), "id", "buckets", "size", "sketch")
-    near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id string", CHUNK).distinct(), "candidates")
+    near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id string", SKETCH_CHUNK).distinct(), "candidates")
     members = known.drop("sketch").join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
     members = members.select("id", "copies", "size", "buckets", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     same = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))

@@ -117,11 +117,9 @@ class _Candidates:
     def pairs(self, near: np.ndarray, chunk: np.ndarray, key: int, across: bool) -> np.ndarray:
         n, m = near.shape
         values, rows = near.ravel(), np.repeat(np.arange(n), m)
-        held = B.incidence(values, rows, n)
-        shared = held @ held.T >= min(SHARED, m)
+        enough = B.shared(values, rows, n) >= min(SHARED, m)
         below = values < key % PIVOTS  # of the pivots before the list's second, a pair of this list shares the first only
-        before = B.incidence(values[below], rows[below], n)
-        return shared & (before @ before.T == 1) & B.countable(chunk, across)
+        return enough & (B.shared(values[below], rows[below], n) == 1) & B.countable(chunk, across)
 
     def __call__(self, loaded, s: int, e: int, across: bool) -> list[tuple]:
         near, chunk, key, names = loaded
