@@ -25,6 +25,9 @@ from . import common as C
 
 #: Reference points at most; one per so many distinct vectors; nearest ones that describe a vector; shared ones that make a candidate.
 PIVOTS, VECTORS_PER_PIVOT, NEAREST, SHARED = 1024, 8, 8, 3
+#: Vectors drawn for each pivot, and the cosine below which two pivots have to stay: in a group of
+#: near copies several pivots would be nearest in any order.
+DRAWN, APART = 3, 0.8
 BLOCK = 512
 
 
@@ -56,7 +59,7 @@ def links(embeddings: DataFrame, threshold: float = 0.95, id_column: str = "vec_
         base.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vectors"
     )
     n = min(PIVOTS, max(16, classes.count() // VECTORS_PER_PIVOT))
-    pivots = [r["vector"] for r in classes.orderBy("id").limit(n).select("vector").collect()]  # at most PIVOTS
+    pivots = _apart([r["vector"] for r in classes.orderBy("id").limit(DRAWN * n).select("vector").collect()])[:n]  # at most DRAWN x PIVOTS come here
     found = _verified(classes, _listed(classes, pivots), threshold)
     found = C.written(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -107,6 +110,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _apart(vectors: list) -> list:
+    """The vectors that are not close to an earlier one."""
+    if not vectors:
+        return []
+    x = _unit(_fitted(vectors, max(map(len, vectors))))
+    kept: list[int] = []
+    for i in range(len(x)):
+        if not kept or (x[kept] @ x[i]).max() < APART:
+            kept.append(i)
+    return [vectors[i] for i in kept]
+
+
 class _Candidates:
     """Members of a list that share enough pivots with another one, in the list where that pair belongs."""
 
