@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch: documents may hold a hundred thousand characters each.
 BATCH_ROWS = "256"
 #: Pieces of text kept with their ids in a worker, in each of two generations.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 350_000
 #: Characters that Python takes for white space and the tokenizers do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Capitals whose lower case depends on what follows, or is more than one sign.

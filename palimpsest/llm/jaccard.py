@@ -30,9 +30,9 @@ from . import common as C
 
 WORDS, THRESHOLD, RECALL, LEVELS = 5, 0.8, 0.99, 3
 #: Sets in a bucket that is not split further; members in a chunk of a bucket for the sketches, and for the exact comparison.
-SMALL_BUCKET, SKETCH_CHUNK, CHUNK = 128, 1024, 256
+SMALL_BUCKET, SKETCH_CHUNK, CHUNK = 128, 512, 128
 SKETCH, MARGIN = 64, 4.0
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -28,7 +28,7 @@ SAMPLE_TEXTS, WORDS, GRAMS, LONGEST = 4_000, 40_000, 15_000, 5
 #: Pseudo count of what was not seen; words that count at most towards the certainty of a text.
 SMOOTHING, CERTAIN_WORDS = 0.5, 40
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE_TEXTS) -> Model:
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("term", pa.string()), ("count", pa.int64())])
 
     def count(batches):
-        for b in batches:
+        for b in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             found: dict[str, Counter] = {}
             for text, lang in zip(C.texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(words_of(text))
