@@ -142,9 +142,8 @@ class PieceEncoder:
                 if len(kept) > KEPT_PIECES:
                     self.older, self.kept = older, kept = kept, {}
                     new = set(pieces)
-                known = new.intersection(older)
-                kept.update((x, older[x]) for x in known)
-                unseen = list(new.difference(known))
+                kept.update((x, older[x]) for x in new if x in older)
+                unseen = [x for x in new if x not in kept]
                 kept.update(zip(unseen, self._encode(unseen), strict=True))
             yield b"".join(map(kept.__getitem__, pieces))
             for x in new:
