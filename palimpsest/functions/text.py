@@ -11,14 +11,15 @@ from .spans import WORD, let, match_spans
 
 # ---- fixed values -----------------------------------------------------------------------------
 # Portuguese words without search value for the accent-free prefix keys.
+# They stand with their accents and are compared with words that have lost theirs: accented ones never match.
 STOP_KEYS = (
-    "a o as os um uma uns umas de do da dos das em no na nos nas por para com sem sob sobre entre ate ao aos que se e "
-    "ou mas porem como quando onde quem qual quais seu sua seus suas meu minha meus minhas teu tua nosso nossa dele "
-    "dela deles delas ele ela eles elas eu tu nos vos voce voces me te lhe lhes isso isto aquilo esse essa esses essas "
-    "este esta estes estas aquele aquela aqueles aquelas sao era eram foi foram ser estar estao estava estavam tem "
-    "tinha tinham ha havia mais menos muito muita muitos muitas ja ainda tambem so mesmo mesma depois antes agora "
-    "entao assim aqui ali la nao sim sempre nunca todo toda todos todas cada outro outra outros outras algum alguma "
-    "alguns algumas nenhum nenhuma tudo nada algo"
+    "a o as os um uma uns umas de do da dos das em no na nos nas por para com sem sob sobre "
+    "entre até ao aos à às que se e ou mas porém como quando onde quem qual quais seu sua seus suas meu minha meus "
+    "minhas teu tua nosso nossa dele dela deles delas ele ela eles elas eu tu nós vós você vocês me te lhe lhes "
+    "isso isto aquilo esse essa esses essas este esta estes estas aquele aquela aqueles aquelas é são era eram foi "
+    "foram ser estar está estão estava estavam tem têm tinha tinham há havia mais menos muito muita muitos muitas "
+    "já ainda também só mesmo mesma depois antes agora então assim aqui ali lá não sim sempre nunca todo toda "
+    "todos todas cada outro outra outros outras algum alguma alguns algumas nenhum nenhuma tudo nada algo"
 ).split()
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñýÿ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucnyy"
@@ -65,7 +66,8 @@ def normalized_words(text: Column) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, the letters of the table without their accents, and no combining marks."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def prefix_keys(text: Column, stop: Iterable[str] | None = STOP_KEYS) -> Column:

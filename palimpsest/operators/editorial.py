@@ -36,7 +36,7 @@ COMMON_WORDS = (
 SENTENCE_OPENERS = ".!?…:;—–\"“”«»‘’("
 SENTENCE_END = ".!?…\"“”«»—–"
 CUT_PRONOUNS = ("eles", "elas", "isso", "aquilo")
-CUT_MINIMUM, CUT_REACH, CUT_WORD_LIMIT = 8, 35, 120_000
+CUT_MINIMUM, CUT_REACH = 8, 35
 IGNORED_ISSUES = ("style", "register", "locale-violation")
 IGNORED_CATEGORIES = ("STYLE", "REDUNDANCY", "COLLOQUIALISMS", "REGIONALISMS", "FORMAL")
 IGNORED_RULES = ("INTERJECTIONS_PUNTUATION", "REGARDS_COMMA")
@@ -499,11 +499,13 @@ def _scars():
     return scars
 
 
-def edit_scars(original: DataFrame, revised: DataFrame, limit: int = CUT_WORD_LIMIT) -> DataFrame:
-    """Pronouns shortly after a long cut; documents above ``limit`` words in both versions together are left out."""
+def edit_scars(original: DataFrame, revised: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pronouns shortly after a long cut; with a ``limit``, documents above so many words in both versions together are left out."""
     old = _document_words(original).select("doc_id", F.col("words").alias("_old"))
     new = _document_words(revised).select("doc_id", F.col("words").alias("_new"))
-    both = old.join(new, "doc_id").where(F.size("_old") + F.size("_new") <= limit)
+    both = old.join(new, "doc_id")
+    if limit is not None:
+        both = both.where(F.size("_old") + F.size("_new") <= limit)
     # Identical versions have nothing to align.
     changed = both.where(F.col("_old.word") != F.col("_new.word"))
     place = F.transform("_new", lambda t: F.struct(t["heading"].alias("heading"), t["chapter"].alias("chapter")))
@@ -518,6 +520,6 @@ def edit_scars(original: DataFrame, revised: DataFrame, limit: int = CUT_WORD_LI
             F.col("_w.end").alias("end"),
             F.col("_w.word").alias("word"),
             F.col("_s.removed").alias("removed"),
-            F.slice(F.array_distinct(F.transform("_lost", lambda t: t["paragraph"])), 1, 3).alias("removed_paragraphs"),
+            F.array_distinct(F.transform("_lost", lambda t: t["paragraph"])).alias("removed_paragraphs"),
         )
     )

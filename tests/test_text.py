@@ -74,3 +74,11 @@ def test_near_spelling_matches_ratio_examples(spark):
     assert near("csaa", "casa") and near("cása", "casa") and near("casas", "casa")
     assert not near("taser", "fazer")
     assert difflib.SequenceMatcher(None, "ab", "ab").ratio() == 1
+
+
+def test_accented_stop_words_stay_search_keys(spark):
+    from palimpsest.functions.text import prefix_keys
+
+    rows = spark.createDataFrame([("Não você também para outro café",), ("cafe\u0301",)], "t string")
+    found = [r[0] for r in rows.select(prefix_keys(rows.t)).collect()]
+    assert found == [["nao", "voce", "tambe", "cafe"], ["cafe"]]
