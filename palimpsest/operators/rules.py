@@ -135,11 +135,11 @@ GRAMMAR_RULES: tuple[Rule, ...] = (
          ALL_SCOPES, "paragraph", not_before=_left_word(_LEFT_OF_HOURS)),
     Rule("crase", rf"(?iuU)\ba(?=\s+uma{_HOUR_TAIL})", "Crase antes de horas", "probable_error", 0.9, "à", "initial",
          ALL_SCOPES, "paragraph", not_before=_left_word(_LEFT_OF_HOURS)),
-    Rule("homofonos", r"(?U)(?<=^\s{0,20}|[—–.!?…]\s{1,20}|[—–])Porque\b(?=[^.!?…]*\?)", "Por que / porque", "probable_error", 0.9,
-         "Por que", "fixed", ALL_SCOPES, "paragraph", not_after=_TAG_QUESTION),
+    Rule("homofonos", r"(?U)Porque\b(?=[^.!?…]*\?)", "Por que / porque", "probable_error", 0.9,
+         "Por que", "fixed", ALL_SCOPES, "paragraph", not_before=r"(?U)(?:[^\s—–.!?…]\s*|[.!?…])\z", not_after=_TAG_QUESTION),
     Rule("homofonos", r"(?iuU)\bporque(?=\s*\?)", "Por que / porque", "probable_error", 0.85, "por quê", "initial", ALL_SCOPES, "paragraph"),
-    Rule("homofonos", rf"(?iuU)(?<=,\s{{1,20}})mais(?=\s+(?:{_AFTER_MORE})\b)", "Mas / mais", "probable_error", 0.85, "mas",
-         "initial", ALL_SCOPES, "paragraph"),
+    Rule("homofonos", rf"(?iuU)(?<=\s)mais(?=\s+(?:{_AFTER_MORE})\b)", "Mas / mais", "probable_error", 0.85, "mas",
+         "initial", ALL_SCOPES, "paragraph", not_before=r"(?U)(?:^|[^,\s])\s*\z"),
     Rule("homofonos", r"(?iuU)\bmau[- ](?!olhado\b)\w+?(?:ad|id)[oa]s?\b", "Mal / mau", "probable_error", 0.9, "mal", "head",
          ALL_SCOPES, "paragraph"),
     Rule("homofonos", r"(?iuU)\bde baixo(?=\s+d[aoe]s?\b)", "Grafia de locução", "probable_error", 0.9, "debaixo", "initial",
@@ -365,16 +365,22 @@ def vocatives(units: DataFrame, lexicon: DataFrame) -> DataFrame:
     body = F.col("text")
     keep = [c for c in units.columns if c != "text"]
     base = F.col("base") if "base" in units.columns else F.lit(0)
-    called = rf"(?U)(?<=^[ \t]{{0,20}}|[.!?][ \t]{{1,20}}){NAME}(?:[ \t]+{NAME}){{0,2}}(?=[ \t]+(?:vocês?\b|tu\b|não[ \t]+(?:{IMPERATIVES})\b))"
+    called = rf"(?U){NAME}(?:[ \t]+{NAME}){{0,2}}(?=[ \t]+(?:vocês?\b|tu\b|não[ \t]+(?:{IMPERATIVES})\b))"
     answered = (
-        r"(?U)(?<=^\s{0,20}|[—–.!?…]\s{0,20})(?:Sim|Não|Obrigad[oa]|Olá|Oi|Bom dia|Boa tarde|Boa noite|Adeus|Tchau)[ \t]+"
+        r"(?U)(?:Sim|Não|Obrigad[oa]|Olá|Oi|Bom dia|Boa tarde|Boa noite|Adeus|Tchau)[ \t]+"
         r"(?:senhor(?:a|es|as)?|moç[oa]|mãe|pai|vovó|vovô|doutor(?:a)?|professor(?:a)?|chefe|mestre|madame|querid[oa]|amor|"
         rf"filh[oa]|(?:dona|seu)[ \t]+{NAME}|{NAME})(?=[ \t]*(?:[.!?…,—–]|$))"
     )
     apposed = (
-        rf"(?U)(?<=^|[.!?…][ \t]{{1,20}}){NAME}[ \t]+(?:(?:meu|minha|meus|minhas)[ \t]+[a-zà-öø-ÿ]+|querid[oa]s?|amad[oa]s?)"
+        rf"(?U){NAME}[ \t]+(?:(?:meu|minha|meus|minhas)[ \t]+[a-zà-öø-ÿ]+|querid[oa]s?|amad[oa]s?)"
         r"(?=[ \t]+[a-zà-öø-ÿ]+\b)"
     )
+    # The text before that rules a shape out: each has to open its sentence, after any amount of space.
+    inside = (
+        F.when(F.col("shape") == "apposition", F.lit(r"^[ \t]+\z|[^ \t.!?…][ \t]*\z|[.!?…]\z"))
+        .when(F.col("shape") == "call", F.lit(r"[^ \t.!?][ \t]*\z|[.!?]\z"))
+        .otherwise(F.lit(r"(?U)[^\s—–.!?…]\s*\z"))
+    )
     shapes = F.array(
         *[
             F.struct(F.lit(name).alias("shape"), match_spans(body, pattern).alias("hits"))
@@ -384,6 +390,7 @@ def vocatives(units: DataFrame, lexicon: DataFrame) -> DataFrame:
     found = (
         units.select(*keep, "text", F.explode(shapes).alias("_s"))
         .select(*keep, "text", F.col("_s.shape").alias("shape"), F.explode("_s.hits").alias("_m"))
+        .where(~F.regexp_like(F.substring(body, F.lit(1), F.col("_m.start")), inside))
         .withColumn("_after", F.substring(body, F.col("_m.end") + 1, F.char_length(body)))
         .withColumn("_first", F.lower(F.regexp_extract("_m.text", r"^\S+", 0)))
         .withColumn("_verb", F.lower(F.regexp_extract("_after", r"^[ \t]+([a-zà-öø-ÿ]+)", 1)))

@@ -101,14 +101,17 @@ def nearest_anchor(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
     return walked.join(first, [*_SENTENCE, "i"], "left").withColumn("anchor", F.when(F.col("_g._n") == 1, F.col("_g._a"))).drop("_g")
 
 
-def narrative_tense(flags: Column) -> Column:
-    """Past or present of a finite form, when the tagger and the lexicon do not disagree."""
+def narrative_tense(flags: Column, certain: Column) -> Column:
+    """Past or present of a form that is certainly a finite verb; the lexicon decides.
+
+    A form listed as both, or not listed, has no tense.  The past needs no agreement of
+    the tagger; the present needs its indicative, which keeps imperatives apart.
+    ``certain``: the positive evidence that the token is a finite verb.
+    """
     past, present, future = (flags.bitwiseAND(f) != 0 for f in (PAST, PRESENT, FUTURE))
-    tagged = F.when(_morph("Tense").isin("Past", "Imp", "Pqp"), "passado").when(_morph("Tense") == "Pres", "presente")
-    listed = F.when(past & ~present & ~future, "passado").when(present & ~past & ~future, "presente")
-    indicative = F.coalesce(_morph("Mood"), F.lit("Ind")) == "Ind"
-    agreed = F.when(tagged.isNull() | listed.isNull(), F.coalesce(listed, tagged)).when(tagged == listed, tagged)
-    return F.when(model_finite() & indicative, agreed)
+    indicative = model_finite() & F.coalesce(_morph("Mood") == "Ind", F.lit(False))
+    listed = F.when(past & ~present & ~future, "passado").when(present & ~past & ~future & indicative, "presente")
+    return F.when(F.coalesce(certain, F.lit(False)), listed)
 
 
 def dominant_tense(tensed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import editorial as E
 from palimpsest.operators import rules as R
 from palimpsest.operators import segments as G
+from palimpsest.operators import tokens as K
 
 
 def classified(spark, *lines):
@@ -46,6 +47,11 @@ def test_surface_rules(spark, text, expected):
         ("Chegou as seis horas da manhã.", ["às"]),
         ("Você saiu porque?", ["por quê"]),
         ("Queria ir, mais não pôde.", ["mas"]),
+        ("Queria ir," + " " * 60 + "mais não pôde.", ["mas"]),
+        ("Queria ir mais não pôde.", []),
+        (" " * 40 + "Porque veio?", ["Por que"]),
+        ("Saiu." + " " * 40 + "Porque veio?", ["Por que"]),
+        ("Saiu.Porque veio?", []),
         ("Menino mau educado.", ["mal educado"]),
         ("Estava de baixo da mesa.", ["debaixo"]),
         ("Foi até a casa da.", [None]),
@@ -74,6 +80,29 @@ def test_vocatives(spark):
     assert rows == {1: "Pedro,", 3: "Não, senhora", 4: "Ana, minha filha,"}
 
 
+def test_vocatives_after_any_amount_of_space(spark):
+    lexicon = spark.createDataFrame([("venha", 1)], "word string, flags int")
+    gap = " " * 50
+    lines = [gap + "Pedro não faça isso.", "Saiu." + gap + "Não senhora.", "Saiu!" + gap + "Ana minha filha venha cá.", "disse Não senhora.", "Saiu.Pedro não faça isso."]
+    units = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines, 1)], "doc_id long, paragraph int, text string")
+    rows = {r.paragraph: r.shape for r in R.vocatives(units, lexicon).collect()}
+    assert rows == {1: "call", 2: "answer", 3: "apposition"}
+
+
+def test_narrative_tense_needs_the_lexicon(spark):
+    rows = [
+        (1, 0, "Past", "Ind", True, None), (2, R.FINITE | R.PAST, "Pres", "Ind", True, "passado"), (3, R.FINITE | R.PRESENT, "Pres", "Ind", True, "presente"),
+        (4, R.FINITE | R.PRESENT, "Pres", "Imp", True, None), (5, R.FINITE | R.PAST | R.PRESENT, "Past", "Ind", True, None),
+        (6, R.FINITE | R.PRESENT | R.FUTURE, "Pres", "Ind", True, None), (7, R.FINITE | R.PAST, "Past", "Ind", False, None), (8, R.FINITE | R.PAST, None, None, True, "passado"),
+    ]
+    df = spark.createDataFrame(
+        [(i, flags, "VERB", {k: v for k, v in (("VerbForm", "Fin"), ("Tense", t), ("Mood", m)) if v}, ok) for i, flags, t, m, ok, _ in rows],
+        "i int, flags int, pos string, morph map<string,string>, ok boolean",
+    )
+    got = {r.i: r.t for r in df.select("i", K.narrative_tense(F.col("flags"), F.col("ok")).alias("t")).collect()}
+    assert got == {r[0]: r[-1] for r in rows}
+
+
 def test_speech_verbs(spark):
     words = ["perguntei", "disse-me", "dissera", "respondemos", "andou", "casa"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
