@@ -183,32 +183,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE_
                     own[1 + label] += 1
             yield C.batch(schema, list(found), *zip(*found.values(), strict=True))
 
-    # Votes of every text, and again of the labelled ones with their labels; what comes here are counts of vote patterns, the frequent ones.
+    # Votes of every text, and again of the labelled ones with their labels; what comes here are the counts of
+    # all vote patterns, of which there are at most 2 ** VOTERS + 1 whatever the input.
     every = docs.select("text", F.lit(None).cast("int").alias("toxic")).unionByName(labelled.select("text", F.col("toxic").cast("int").alias("toxic")))
     counted = every.mapInArrow(vote, "votes binary, count long, clean long, toxic long").groupBy("votes").agg(*[F.sum(c).alias(c) for c in ("count", "clean", "toxic")])
-    rows = counted.orderBy(F.desc("count"), "votes").limit(CANDIDATES).collect()
-    votes = np.array([np.frombuffer(r["votes"], np.int8) for r in rows], int)
-    counts = np.array([r["count"] for r in rows], float)
-    rates, corr, post = label_model(votes, counts, np.array([[r["clean"], r["toxic"]] for r in rows], float), prior)
-    posterior = {v.astype(np.int8).tobytes(): p for v, p in zip(votes, post, strict=True)}
+    rows = counted.orderBy("votes").toArrow()
+    votes = np.array([np.frombuffer(v.as_buffer(), np.int8) for v in rows.column("votes")], np.int8)
+    counts, *known = (rows.column(c).to_numpy().astype(float) for c in ("count", "clean", "toxic"))
+    rates, corr, post = label_model(votes, counts, np.stack(known, axis=1), prior)
+    posterior = dict(zip(map(bytes, votes), post, strict=True))
 
     def features(batches):
         for b in batches:
             out = []
             for t in C.texts(b.column(0)):
                 hits, words = _hits(t, places, sizes)
-                out.append((_features(hits, words, pattern).astype("<f4").tobytes(), posterior.get(_votes(hits, words, pattern).astype(np.int8).tobytes())))
+                out.append((_features(hits, words, pattern).astype("<f4").tobytes(), _votes(hits, words, pattern).astype(np.int8).tobytes()))
             yield C.batch(shape, *zip(*out, strict=True))
 
-    shape = pa.schema([("x", pa.binary()), ("y", pa.float64())])
+    shape = pa.schema([("x", pa.binary()), ("votes", pa.binary())])
     total = counts.sum()
     # The sample for the classifier: texts by hash, and as many of those with a vote.
     drawn = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("h")).where(F.col("h") < min(1.0, sample / max(total, 1)) * (1 << 20))
-    found = drawn.select("text").mapInArrow(features, "x binary, y double").where(F.col("y").isNotNull()).collect()
+    found = drawn.select("text").mapInArrow(features, "x binary, votes binary").collect()
     marked = labelled.where("toxic = 1").orderBy(F.xxhash64("text")).limit(sample // 8).select("text")
-    found += marked.mapInArrow(features, "x binary, y double").where(F.col("y").isNotNull()).collect()
+    found += marked.mapInArrow(features, "x binary, votes binary").collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in found], float)
-    y = np.array([r["y"] for r in found])
+    y = np.array([posterior[bytes(r["votes"])] for r in found])
     return Model(tuple(terms), rates, corr, _logistic(x, y))
 
 
