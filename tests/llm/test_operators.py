@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,6 +122,50 @@ def test_language_by_words_and_then_grams(spark):
     assert langid.identify(asked, nothing).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_model_counts_as_brute_force(spark):
+    rows = [(i, prose(i, 30), "one") for i in range(12)] + [(50 + i, prose(i, 30)[::-1] + " \u03a3\u00bd 12", "two") for i in range(9)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    words = {x: Counter(w for _, t, lang in rows if lang == x for w in langid.words_of(t)) for x in ("one", "two")}
+    for n in range(langid.LONGEST + 1):
+        terms = words if n == 0 else {x: Counter() for x in words}
+        if n:
+            for x, own in words.items():
+                for w, k in own.items():
+                    terms[x].update({g: k * langid.grams_of(w, n).count(g) for g in set(langid.grams_of(w, n))})
+        both = terms["one"] + terms["two"]
+        kept = {t for t, k in both.items() if k > 1}
+        places, scores = (model.words, model.word_scores) if n == 0 else (model.grams, model.gram_scores)
+        assert {t for t in places if n == 0 or len(t) == n} == kept
+        total = np.array([sum(terms[x][t] for t in kept) for x in ("one", "two")])
+        for t in kept:
+            counts = np.array([terms[x][t] for x in ("one", "two")])
+            assert np.allclose(scores[places[t]], np.log((counts + langid.SMOOTHING) / (total + langid.SMOOTHING * (len(kept) + 1))))
+
+
+@pytest.mark.parametrize("kept", [1, 3, 1000])
+def test_language_scores_as_brute_force(kept, monkeypatch):
+    monkeypatch.setattr(langid, "_KEPT_WORDS", kept)
+    terms = sorted({g for w in WORDS for n in range(1, langid.LONGEST + 1) for g in langid.grams_of(w, n) if zlib.crc32(g.encode()) % 3})
+    own = np.random.default_rng(5)
+    model = langid.Model(("one", "two"), {w: i for i, w in enumerate(WORDS[:8])}, own.normal(size=(8, 2)), {g: i for i, g in enumerate(terms)}, own.normal(size=(len(terms), 2)))
+
+    def by_hand(word: str) -> np.ndarray:
+        if word in model.words:
+            return model.word_scores[model.words[word]]
+        for n in range(langid.LONGEST, 0, -1):
+            if found := [model.gram_scores[model.grams[g]] for g in langid.grams_of(word, n) if g in model.grams]:
+                return np.mean(found, axis=0)
+        return np.zeros(2)
+
+    score = langid.scorer(model)
+    for text in ["amber", "q \u4e2d", "Ab umber, weirs-yarrow " * 3, " ".join(WORDS), prose(4, 200), "tarn " + prose(6, 50)]:
+        words = langid.words_of(text)
+        mean = np.mean([by_hand(w) for w in words], axis=0) * min(len(words), langid.CERTAIN_WORDS)
+        odds = np.exp(mean - mean.max())
+        lang, certainty = score(text)
+        assert lang == model.languages[int(odds.argmax())] and math.isclose(certainty, odds.max() / odds.sum(), rel_tol=1e-9)
+
+
 def test_toxicity_held_out(spark):
     rows = [(i, prose(i, 60) + (" wretch" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(400)]
     texts = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
