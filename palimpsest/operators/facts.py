@@ -86,8 +86,10 @@ def incompatible_facts(facts: DataFrame, suggested: DataFrame | None = None) ->
     return pairs.groupBy(*sides).agg(F.min(F.struct("origin", "entity_key", "aspect_key")).alias("_p")).select(*sides, "_p.*")
 
 
-def relevant_facts(facts: DataFrame, scene_paras: DataFrame, limit: int = 80) -> DataFrame:
-    """Facts to carry into each scene: their entity occurs in it, or they describe the setting; the last ``limit``.
+def relevant_facts(facts: DataFrame, scene_paras: DataFrame, limit: int | None = None) -> DataFrame:
+    """Facts to carry into each scene: their entity occurs in it, or they describe the setting.
+
+    All are returned, ``rank`` counts from the last one; a ``limit`` keeps the last ones only.
 
     ``facts``: doc_id, fact_order, entity, kind, scene (where it was read);
     ``scene_paras``: doc_id, scene, paragraph, text.  Only earlier scenes count.
@@ -105,7 +107,8 @@ def relevant_facts(facts: DataFrame, scene_paras: DataFrame, limit: int = 80) ->
     scenes = scene_paras.select("doc_id", "scene").distinct()
     carried = settings.join(scenes, "doc_id").where("fact_scene < scene").select("doc_id", "scene", "fact_order")
     last = Window.partitionBy("doc_id", "scene").orderBy(F.desc("fact_order"))
-    return hits.unionByName(carried).distinct().withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= limit).drop("_k")
+    ranked = hits.unionByName(carried).distinct().withColumn("rank", F.row_number().over(last))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def verify_evidence(evidence: DataFrame, paras: DataFrame) -> DataFrame:

@@ -32,7 +32,6 @@ GLOBAL_CATEGORIES = (
     "fato_incompativel continuidade_espacial_temporal continuidade_causal evento_abandonado conhecimento_do_personagem "
     "clareza_contextual"
 ).split()
-GLOBAL_LIMIT = 20
 AUDIT_CATEGORIES = {
     # category: rule switch that turns it off (empty: none)
     "ortografia": "", "concordancia": "concordancia", "regencia": "regencia", "crase": "crase", "pontuacao": "",
@@ -276,8 +275,10 @@ def pack_batches(items: DataFrame, paras: DataFrame, max_items: int = 3, max_cha
     return listed.select("doc_id", F.explode(F.aggregate("_rows", start, step, lambda a: a["out"])).alias("_o")).select("doc_id", "_o.finding_id", "_o.batch")
 
 
-def global_findings(points: DataFrame, evidence: DataFrame, limit: int = GLOBAL_LIMIT) -> DataFrame:
-    """Global-reading points with verified evidence: supported or inconclusive, destination, id, first ``limit`` per document.
+def global_findings(points: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Global-reading points with verified evidence: supported or inconclusive, destination, id and rank in the document.
+
+    All are returned unless a ``limit`` keeps the first ones of each document.
 
     ``points``: doc_id, point_id, category, nature, priority, certainty, gap_relevance;
     ``evidence``: output of ``verify_evidence`` with point_id.
@@ -316,7 +317,8 @@ def global_findings(points: DataFrame, evidence: DataFrame, limit: int = GLOBAL_
     columns = [c for c in kept.columns if c not in ("doc_id", "global_id")]
     once = kept.groupBy("doc_id", "global_id").agg(F.min_by(F.struct(*columns), "point_id").alias("_p")).select("doc_id", "global_id", "_p.*")
     order = Window.partitionBy("doc_id").orderBy(F.when(F.col("priority") == "atencao", 0).otherwise(1), F.col("_first.paragraph"), "global_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_all", "_valid", "_distinct", "_first")
+    ranked = once.withColumn("rank", F.row_number().over(order)).drop("_all", "_valid", "_distinct", "_first")
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def global_to_findings(points: DataFrame, paras: DataFrame) -> DataFrame:

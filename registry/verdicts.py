@@ -493,8 +493,8 @@ def e21(spark, sf):
 @query(
     "e20_relevant_facts",
     f"""WITH sp AS (SELECT DISTINCT doc_id, paragraph AS scene, unnest(regexp_extract_all({_NORMAL.format(c='text')}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM paragraphs)
-SELECT doc_id, scene, fact_order FROM (SELECT f.doc_id, s.scene, f.paragraph AS fact_order, row_number() OVER (PARTITION BY f.doc_id, s.scene ORDER BY f.paragraph DESC) AS k
- FROM (SELECT *, {_ENTITY.format(c='entity')} AS e FROM facts) f JOIN sp s ON s.doc_id = f.doc_id AND s.w = f.e AND f.paragraph < s.scene WHERE length(f.e) > 2) x WHERE k <= 80""",
+SELECT doc_id, scene, fact_order, k::INT AS rank FROM (SELECT f.doc_id, s.scene, f.paragraph AS fact_order, row_number() OVER (PARTITION BY f.doc_id, s.scene ORDER BY f.paragraph DESC) AS k
+ FROM (SELECT *, {_ENTITY.format(c='entity')} AS e FROM facts) f JOIN sp s ON s.doc_id = f.doc_id AND s.w = f.e AND f.paragraph < s.scene WHERE length(f.e) > 2) x""",
 )
 def e20(spark, sf):
     known = facts(spark, sf).select("doc_id", F.col("paragraph").alias("fact_order"), "entity", F.lit("personagem").alias("kind"), F.col("paragraph").alias("scene"))
