@@ -259,15 +259,16 @@ def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -
     buckets = C.written(_buckets(classes), "buckets")
     known = classes.select("id", "first", "copies", "size", "sketch").join(buckets.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("buckets")), "id")
     known = C.written(known, "members")
-    listed = known.select(F.explode("buckets").alias("key"), "id", "buckets", "size", "sketch")
+    # Of its other buckets a row takes along those before the bucket: they alone decide whose a pair is.
+    listed = known.select(F.posexplode("buckets").alias("at", "key"), "id", "buckets", "size", "sketch").withColumn("buckets", F.expr("slice(buckets, 1, at)")).drop("at")
     near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id string", SKETCH_CHUNK).distinct(), "candidates")
     members = known.drop("sketch").join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
     members = members.select("id", "copies", "size", "buckets", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     same = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))
     # Rows that are repeated whole bring their class more than once.
     texts = same.select("m.id", "m.copies", "m.size", "m.buckets", "m.keys", "d.text").dropDuplicates(["id"])
-    whole = C.written(_with_grams(texts, words).select(F.explode("keys").alias("key"), "id", "copies", "size", "buckets", "grams"), "grams")
-    return B.blocked(whole, _Links(threshold), "id string, links long, mate string", CHUNK)
+    whole = C.written(_with_grams(texts, words), "grams").select(F.explode("keys").alias("key"), "id", "copies", "size", "buckets", "grams")
+    return B.blocked(whole.withColumn("buckets", F.expr("filter(buckets, b -> b < key)")), _Links(threshold), "id string, links long, mate string", CHUNK)
 
 
 def _with_grams(texts: DataFrame, words: int) -> DataFrame:
