@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import blocks as B
@@ -99,7 +100,7 @@ def sketch(grams: np.ndarray) -> np.ndarray:
 
 
 def paths(grams: np.ndarray, runs: int, threshold: float = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The chosen paths of each level as (path above, path); above the first level stands the run."""
+    """The chosen paths of each level as (place of the path above in its level, path); above the first level stands the run."""
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(grams)))))
     above, out = _mix(np.arange(1, runs + 1, dtype=np.uint64)), []
     for level in range(LEVELS):
@@ -107,19 +108,17 @@ def paths(grams: np.ndarray, runs: int, threshold: float = THRESHOLD) -> list[tu
         rows, at = np.nonzero(drawn < limit)
         # Named after the path above and the n-gram.
         below = _mix(above[rows] + _mix(grams[at] + np.uint64(level + 1)))
-        out.append((above[rows], below))
+        out.append((rows.astype(np.int32), below.view(np.int64)))
         above = below
     return out
 
 
 def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
     """Per row its id, the hash of its text, the name and size of its n-gram set, sketch and paths."""
-    paths_of = ", ".join(f"above{k} array<long>, path{k} array<long>" for k in range(LEVELS))
-    shape = f"doc_id long, text_hash long, id string, size int, sketch binary, {paths_of}"
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.string()), ("size", pa.int32()), ("sketch", pa.binary())] + [(f"{x}{k}", pa.list_(pa.int64())) for k in range(LEVELS) for x in ("above", "path")]
-    )
-    runs = runs_for(recall)
+    paths_of = ", ".join(f"path{k} array<long>" if not k else f"above{k} array<int>, path{k} array<long>" for k in range(LEVELS))
+    shape = f"doc_id long, text_hash long, id binary, size int, sketch binary, {paths_of}"
+    schema = to_arrow_schema(StructType.fromDDL(shape))
+    empty, runs = [None] * (2 * LEVELS - 1), runs_for(recall)
 
     def run(batches):
         grams_of = Shingler(words)
@@ -128,10 +127,11 @@ def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> D
             for doc_id, text_hash, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 grams = grams_of(text or "")
                 if not len(grams):
-                    rows.append((doc_id, text_hash, None, 0, None, *[None] * (2 * LEVELS)))
+                    rows.append((doc_id, text_hash, None, 0, None, *empty))
                     continue
-                chosen = [x.view(np.int64) for pair in paths(grams, runs, threshold) for x in pair]
-                rows.append((doc_id, text_hash, xxhash.xxh3_128_hexdigest(grams.tobytes()), len(grams), sketch(grams).tobytes(), *chosen))
+                # The runs above the first level are needed no more.
+                chosen = [x for pair in paths(grams, runs, threshold) for x in pair][1:]
+                rows.append((doc_id, text_hash, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), sketch(grams).tobytes(), *chosen))
             yield C.batch(schema, *zip(*rows, strict=True))
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, shape)
@@ -147,8 +147,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
         found.append(nodes.join(sizes if last else sizes.where(F.col("n") <= SMALL_BUCKET), "key").select("key", "id"))
         if not last:
             large = sizes.where(F.col("n") > SMALL_BUCKET).select(F.col("key").alias("above"))
-            below = classes.select("id", F.explode(F.arrays_zip(f"above{level + 1}", f"path{level + 1}")).alias("x"))
-            nodes = below.select("id", F.col(f"x.above{level + 1}").alias("above"), F.col(f"x.path{level + 1}").alias("key")).join(large, "above").select("key", "id").distinct()
+            k = level + 1
+            below = classes.select("id", F.explode(F.expr(f"transform(path{k}, (p, i) -> struct(path{level}[above{k}[i]] AS above, p AS key))")).alias("x"))
+            nodes = below.select("id", "x.above", "x.key").join(large, "above").select("key", "id").distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -261,14 +262,14 @@ def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -
     known = C.written(known, "members")
     # Of its other buckets a row takes along those before the bucket: they alone decide whose a pair is.
     listed = known.select(F.posexplode("buckets").alias("at", "key"), "id", "buckets", "size", "sketch").withColumn("buckets", F.expr("slice(buckets, 1, at)")).drop("at")
-    near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id string", SKETCH_CHUNK).distinct(), "candidates")
+    near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id binary", SKETCH_CHUNK).distinct(), "candidates")
     members = known.drop("sketch").join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
     members = members.select("id", "copies", "size", "buckets", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     same = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))
     # Rows that are repeated whole bring their class more than once.
     texts = same.select("m.id", "m.copies", "m.size", "m.buckets", "m.keys", "d.text").dropDuplicates(["id"])
     whole = C.written(_with_grams(texts, words), "grams").select(F.explode("keys").alias("key"), "id", "copies", "size", "buckets", "grams")
-    return B.blocked(whole.withColumn("buckets", F.expr("filter(buckets, b -> b < key)")), _Links(threshold), "id string, links long, mate string", CHUNK)
+    return B.blocked(whole.withColumn("buckets", F.expr("filter(buckets, b -> b < key)")), _Links(threshold), "id binary, links long, mate binary", CHUNK)
 
 
 def _with_grams(texts: DataFrame, words: int) -> DataFrame:
