@@ -79,7 +79,8 @@ def _listed(classes: DataFrame, pivots: list) -> DataFrame:
     width = max(map(len, pivots))
     points = _unit(_fitted(pivots, width))
     m = min(NEAREST, len(points))
-    pairs = np.array(list(combinations(range(m), 2))).reshape(-1, 2)
+    # Vectors that all have the same pivots all meet in one list, that of the first two (or of the only one and none).
+    pairs = np.array(list(combinations(range(m), 2)) if len(points) > NEAREST else [(0, min(1, m - 1))])
     schema = pa.schema([("key", pa.int64()), ("id", pa.string()), ("nearest", pa.binary())])
 
     def run(batches):
@@ -87,7 +88,7 @@ def _listed(classes: DataFrame, pivots: list) -> DataFrame:
             near = _unit(_fitted(b.column(1).to_pylist(), width)) @ points.T
             order = np.argsort(-near, axis=1, kind="stable")[:, :m].astype("<i4")
             placed = np.sort(order, axis=1)
-            keys = placed[:, pairs[:, 0]].astype(np.int64) * PIVOTS + placed[:, pairs[:, 1]]
+            keys = placed[:, pairs[:, 0]].astype(np.int64) * PIVOTS + (placed[:, pairs[:, 1]] if m > 1 else 1)
             rows = np.repeat(np.arange(len(order)), len(pairs))
             names = b.column(0).take(pa.array(rows))
             own = [o.tobytes() for o in order]
