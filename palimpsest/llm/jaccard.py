@@ -10,7 +10,9 @@ the recall that is asked for.
 Texts with equal n-gram sets are one class from the start. Within the buckets, a
 pair belongs to the smallest bucket that it shares; a sketch first picks the
 members that have a partner there, and only those fetch their n-grams for the
-exact comparison. What leaves a bucket is per member, never per pair.
+exact comparison. What leaves a bucket is per member, never per pair. The links
+found give the components; in those of more than two sets all pairs are then
+counted exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import blocks as B
 from . import common as C
 
-WORDS, THRESHOLD, RECALL, LEVELS = 5, 0.8, 0.99, 3
+WORDS, THRESHOLD, RECALL, LEVELS = 5, 0.8, 1 - 1e-6, 3
 #: Sets in a bucket that is not split further; members in a chunk of a bucket for the sketches, and for the exact comparison.
 SMALL_BUCKET, SKETCH_CHUNK, CHUNK = 128, 512, 128
-SKETCH, MARGIN = 64, 4.0
+#: Ranges of a sketch, and the deviations by which it may fall short: at 6, a pair at the threshold is ruled out once in a million.
+SKETCH, MARGIN = 64, 6.0
 _KEPT_WORDS = 200_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -99,26 +102,19 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(grams: np.ndarray, runs: int, threshold: float = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The chosen paths of each level as (place of the path above in its level, path); above the first level stands the run."""
+def paths(grams: np.ndarray, above: np.ndarray, level: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen paths of a level as (place of the path above, path); above the first level stand the runs."""
     limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(grams)))))
-    above, out = _mix(np.arange(1, runs + 1, dtype=np.uint64)), []
-    for level in range(LEVELS):
-        drawn = _mix(grams[None, :] ^ above[:, None])
-        rows, at = np.nonzero(drawn < limit)
-        # Named after the path above and the n-gram.
-        below = _mix(above[rows] + _mix(grams[at] + np.uint64(level + 1)))
-        out.append((rows.astype(np.int32), below.view(np.int64)))
-        above = below
-    return out
+    rows, at = np.nonzero(_mix(grams[None, :] ^ above[:, None]) < limit)
+    # Named after the path above and the n-gram.
+    return rows, _mix(above[rows] + _mix(grams[at] + np.uint64(level + 1)))
 
 
 def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
-    """Per row its id, the hash of its text, the name and size of its n-gram set, sketch and paths."""
-    paths_of = ", ".join(f"path{k} array<long>" if not k else f"above{k} array<int>, path{k} array<long>" for k in range(LEVELS))
-    shape = f"doc_id long, text_hash long, id binary, size int, sketch binary, {paths_of}"
+    """Per row its id, the hash of its text, the name and size of its n-gram set, sketch and paths of the first level."""
+    shape = "doc_id long, text_hash long, id binary, size int, sketch binary, path array<long>"
     schema = to_arrow_schema(StructType.fromDDL(shape))
-    empty, runs = [None] * (2 * LEVELS - 1), runs_for(recall)
+    runs = _mix(np.arange(1, runs_for(recall) + 1, dtype=np.uint64))
 
     def run(batches):
         grams_of = Shingler(words)
@@ -127,29 +123,48 @@ def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> D
             for doc_id, text_hash, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 grams = grams_of(text or "")
                 if not len(grams):
-                    rows.append((doc_id, text_hash, None, 0, None, *empty))
+                    rows.append((doc_id, text_hash, None, 0, None, None))
                     continue
-                # The runs above the first level are needed no more.
-                chosen = [x for pair in paths(grams, runs, threshold) for x in pair][1:]
-                rows.append((doc_id, text_hash, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), sketch(grams).tobytes(), *chosen))
+                chosen = paths(grams, runs, 0, threshold)[1].view(np.int64)
+                rows.append((doc_id, text_hash, xxhash.xxh3_128_digest(grams.tobytes()), len(grams), sketch(grams).tobytes(), chosen))
             yield C.batch(schema, *zip(*rows, strict=True))
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, shape)
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
+def _deeper(docs: DataFrame, classes: DataFrame, nodes: DataFrame, threshold: float, words: int) -> DataFrame:
+    """level, above, key and id of the paths below ``nodes`` (key, id), found again from the texts: few sets need them."""
+    shape = "level int, above long, key long, id binary"
+    schema = to_arrow_schema(StructType.fromDDL(shape))
+    members = nodes.groupBy("id").agg(F.collect_set("key").alias("tops")).join(classes.select("id", "first"), "id")
+
+    def run(batches):
+        grams_of = Shingler(words)
+        for b in batches:
+            for name, tops, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                grams, above = grams_of(text), np.array(tops, np.int64).view(np.uint64)
+                for level in range(1, LEVELS):
+                    rows, below = paths(grams, above, level, threshold)
+                    if len(below):
+                        yield C.batch(schema, [level] * len(below), above[rows].view(np.int64), below.view(np.int64), [name] * len(below))
+                    above = below
+
+    return _texts(docs, members).select("id", "tops", "text").mapInArrow(run, shape)
+
+
+def _buckets(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
     """key and id of the buckets with two sets or more that are compared: small ones of any level, all of the last."""
-    found = []
-    nodes = classes.select("id", F.explode("path0").alias("key"))
+    found, deep = [], None
+    nodes = classes.select("id", F.explode("path").alias("key"))
     for level in range(LEVELS):
         sizes = C.written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         last = level == LEVELS - 1
         found.append(nodes.join(sizes if last else sizes.where(F.col("n") <= SMALL_BUCKET), "key").select("key", "id"))
         if not last:
-            large = sizes.where(F.col("n") > SMALL_BUCKET).select(F.col("key").alias("above"))
-            k = level + 1
-            below = classes.select("id", F.explode(F.expr(f"transform(path{k}, (p, i) -> struct(path{level}[above{k}[i]] AS above, p AS key))")).alias("x"))
-            nodes = below.select("id", "x.above", "x.key").join(large, "above").select("key", "id").distinct()
+            large = sizes.where(F.col("n") > SMALL_BUCKET).select("key")
+            if deep is None:
+                deep = C.written(_deeper(docs, classes, nodes.join(large, "key"), threshold, words), "deeper")
+            nodes = deep.where(F.col("level") == level + 1).join(large.withColumnRenamed("key", "above"), "above").select("key", "id").distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -238,8 +253,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     kept = [F.first(c).alias(c) for c in rows.columns[3:]]
     classes = C.written(rows.where("id is not null").groupBy("id").agg(first, F.count(F.lit(1)).alias("copies"), *kept), "classes")
     found = C.written(_linked(docs, classes, threshold, words), "links")
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = B.components(found.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b")))
+    roots = C.written(B.components(found.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b"))), "roots")
+    counts = _counted(docs, classes, roots, threshold, words).groupBy("id").agg(F.sum("links").alias("links"))
     least = roots.join(classes.select(F.col("id").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("component"))
     known = classes.select("id", "first", "copies").join(counts, "id", "left").join(roots.join(least, "root").select(F.col("node").alias("id"), "component"), "id", "left")
     known = known.select("id", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
@@ -257,21 +272,37 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
 
 def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
     """id, links, mate of the classes that link with another."""
-    buckets = C.written(_buckets(classes), "buckets")
+    buckets = C.written(_buckets(docs, classes, threshold, words), "buckets")
     known = classes.select("id", "first", "copies", "size", "sketch").join(buckets.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("buckets")), "id")
     known = C.written(known, "members")
     # Of its other buckets a row takes along those before the bucket: they alone decide whose a pair is.
     listed = known.select(F.posexplode("buckets").alias("at", "key"), "id", "buckets", "size", "sketch").withColumn("buckets", F.expr("slice(buckets, 1, at)")).drop("at")
     near = C.written(B.blocked(listed, _Candidates(threshold), "key long, id binary", SKETCH_CHUNK).distinct(), "candidates")
     members = known.drop("sketch").join(near.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
-    members = members.select("id", "copies", "size", "buckets", "keys", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
-    same = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))
-    # Rows that are repeated whole bring their class more than once.
-    texts = same.select("m.id", "m.copies", "m.size", "m.buckets", "m.keys", "d.text").dropDuplicates(["id"])
+    texts = _texts(docs, members.select("id", "copies", "size", "buckets", "keys", "first"))
     whole = C.written(_with_grams(texts, words), "grams").select(F.explode("keys").alias("key"), "id", "copies", "size", "buckets", "grams")
     return B.blocked(whole.withColumn("buckets", F.expr("filter(buckets, b -> b < key)")), _Links(threshold), "id binary, links long, mate binary", CHUNK)
 
 
+def _counted(docs: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float, words: int) -> DataFrame:
+    """id and links of all pairs inside each component."""
+    pairs = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
+    # Two sets in a component are linked with each other.
+    two = pairs.where("n = 2").select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("mate")), F.struct(F.col("b").alias("id"), F.col("a").alias("mate")))).alias("x"))
+    two = two.select("x.*").join(classes.select(F.col("id").alias("mate"), F.col("copies").alias("links")), "mate").select("id", "links")
+    members = roots.join(pairs.where("n > 2").select("root"), "root").select(F.xxhash64("root").alias("key"), F.col("node").alias("id"))
+    members = members.join(classes.select("id", "copies", "size", "first"), "id")
+    whole = C.written(_with_grams(_texts(docs, members), words), "components").withColumn("buckets", F.array().cast("array<long>"))
+    return two.unionByName(B.blocked(whole, _Links(threshold), "id binary, links long, mate binary", CHUNK).select("id", "links"))
+
+
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The text of each member in place of the row (first) that names it. Rows that are repeated whole bring it more than once."""
+    members = members.withColumns({"doc_id": F.col("first.doc_id"), "text_hash": F.col("first.text_hash")}).drop("first")
+    same = docs.alias("d").join(members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_hash") == F.col("m.text_hash")))
+    return same.select(*[f"m.{c}" for c in members.columns if c not in ("doc_id", "text_hash")], "d.text").dropDuplicates(["id"])
+
+
 def _with_grams(texts: DataFrame, words: int) -> DataFrame:
     """The n-gram set in place of the text."""
     kept = texts.drop("text")
