@@ -8,8 +8,9 @@ and secret tokens, which have no numeric format, get keyed digests of their form
 =========  ==========================================================  =====================
 kind       valid if                                                     permuted over
 =========  ==========================================================  =====================
-card       13 to 19 digits, alone or in groups of four                  all digits but the check digit, which keeps its distance to the Luhn digit
+card       13 to 19 digits, alone, in groups of four or as 4-6-5 or 4-6-4  all digits but the check digit, which keeps its distance to the Luhn digit
 phone      a country code and ten digits, or ten digits in groups       the ten digits
+abroad     + and country code, then groups of 7 to 14 digits; 0n in pairs  the digits after the country code or 0
 ssn        area 001-899 without 666, group 01-99, serial 0001-9999      the valid numbers
 ipv4       four parts of 0 to 255                                       32 bits
 date       a calendar date of 1900 to 2099 (y-m-d, d/m/y or m/d/y)      those days
@@ -35,10 +36,11 @@ _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9.
 _TOKEN = r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 _IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
 _PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
+_ABROAD = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?=(?:[ .()-]{1,3}[0-9]+){1,6}(?![0-9]))(?=(?:[ .()-]{0,3}[0-9]){7,14}(?![ .-]?[0-9]))(?:[ .-]\(?[0-9]{1,8}\)?){1,6}|0[1-9](?: [0-9]{2}){4}|0[1-9](?:\.[0-9]{2}){4}|0[1-9](?:-[0-9]{2}){4})(?![ .-]?[0-9])"
 _SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])"
-_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![0-9A-Za-z])"
-_ANY = "|".join([_EMAIL, _TOKEN, _IPV4, _PHONE, _SSN, _DATE, _CARD])
+_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![0-9A-Za-z])"
+_ANY = "|".join([_EMAIL, _TOKEN, _IPV4, _PHONE, _ABROAD, _SSN, _DATE, _CARD])
 #: A quick test that every value passes.
 _HINT = r"@|[0-9][0-9./)-]|[0-9A-Fa-f]{32}"
 
@@ -120,6 +122,13 @@ def _phone(value: Column, key: str) -> Column:
     return _filled(value, F.concat(country, _digits_permuted(F.substring(digits, -10, 10), key, F.concat(F.lit("phone"), country))))
 
 
+def _abroad(value: Column, key: str) -> Column:
+    digits = _only_digits(value)
+    fixed = F.regexp_extract(value, r"^\+?(0(?=[1-9])|[0-9]{1,3})", 1)
+    rest = digits.substr(F.length(fixed) + 1, F.length(digits))
+    return _filled(value, F.concat(fixed, _digits_permuted(rest, key, F.concat(F.lit("phone"), fixed))))
+
+
 def _ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     place = F.when(area > 666, area - 2).otherwise(area - 1) * (99 * 9999) + (group - 1) * 9999 + serial - 1
@@ -158,7 +167,7 @@ def _token(value: Column, key: str) -> Column:
     return F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-_KINDS: list[tuple[str, Callable[[Column, str], Column]]] = [("@", _email), (f"^(?:{_TOKEN})$", _token), (f"^(?:{_IPV4})$", _ipv4), (f"^(?:{_SSN})$", _ssn), (f"^(?:{_DATE})$", _date), (f"^(?:{_PHONE})$", _phone)]
+_KINDS: list[tuple[str, Callable[[Column, str], Column]]] = [("@", _email), (f"^(?:{_TOKEN})$", _token), (f"^(?:{_IPV4})$", _ipv4), (f"^(?:{_SSN})$", _ssn), (f"^(?:{_DATE})$", _date), (f"^(?:{_PHONE})$", _phone), (f"^(?:{_ABROAD})$", _abroad)]
 
 
 def pseudonymize(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
