@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import idfiles, jaccard, langid, packing, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
+from . import idfiles, jaccard, langid, packing, periodic, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
 
 #: Keys the pseudonyms of the registered query; a real one comes from a vault.
 PSEUDONYM_KEY = "documents of the test tables"
@@ -75,9 +76,25 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.stored(spark, docs, C.new_folder(spark, "ids"), tokenizer("byte_bpe_50k.json"), BYTE_END)
 
 
+def _repeating(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """One document in ten, by its id's checksum, goes on from some word in periods of a fixed length."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(table(spark, sf_dir, "documents"), _repeating)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files)
+    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files, op13_periodic_runs)
 }
 
 #: Components are walked from the links; a pair is compared only if its vectors may reach the threshold.
