@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import idfiles, jaccard, langid, packing, periodic, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
+from . import idfiles, jaccard, langid, packing, periodic, phrases, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
 
 #: Keys the pseudonyms of the registered query; a real one comes from a vault.
 PSEUDONYM_KEY = "documents of the test tables"
@@ -76,6 +76,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.stored(spark, docs, C.new_folder(spark, "ids"), tokenizer("byte_bpe_50k.json"), BYTE_END)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def _repeating(words: list[bytes], doc_id: int | None) -> list[bytes]:
     """One document in ten, by its id's checksum, goes on from some word in periods of a fixed length."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -94,7 +98,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files, op13_periodic_runs)
+    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files, op11_phrase_collocations, op13_periodic_runs)
 }
 
 #: Components are walked from the links; a pair is compared only if its vectors may reach the threshold.
@@ -144,4 +148,26 @@ f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >=
 SELECT d.page_id, payload_bytes, d.payload_digest, CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest""",
+    "op11_phrase_collocations": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, m, unnest(list_transform(range(1, greatest(len(ws) - m + 2, 1)), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS m)),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m >= 2 AND a >= 10),
+s AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (1000000 * c.a * c.a) // (x.a * y.a) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS around FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE m = 3 AND k = 1) GROUP BY ALL),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.around IS NULL OR 100 * o.around < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000""",
 }
