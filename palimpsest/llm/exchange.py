@@ -63,7 +63,7 @@ def by_piece(pieces: DataFrame, answers: DataFrame, go_on: Callable[[dict, list[
         if not left.num_rows:
             return types.empty_table()
         found = go_on(left.to_pylist()[0], right.sort_by("bucket").to_pylist())
-        return found if isinstance(found, pa.Table) else _table(found, types)
+        return found.cast(types) if isinstance(found, pa.Table) else _table(found, types)
 
     return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(resumed, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import idfiles, jaccard, langid, packing, periodic, phrases, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
+from . import classlm, idfiles, jaccard, langid, packing, periodic, phrases, pivots, pseudonyms, tiktoken_codec, toxicity, voronoi, warc
 
 #: Keys the pseudonyms of the registered query; a real one comes from a vault.
 PSEUDONYM_KEY = "documents of the test tables"
@@ -80,6 +80,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classlm.fit_score(table(spark, sf_dir, "documents"), C.remainder("doc_id", 7) != 2)
+    return found.scores.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _repeating(words: list[bytes], doc_id: int | None) -> list[bytes]:
     """One document in ten, by its id's checksum, goes on from some word in periods of a fixed length."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -98,7 +103,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files, op11_phrase_collocations, op13_periodic_runs)
+    for f in (op1_pivot_near_dedup, op2_language_id, op3_byte_bpe, op4_ngram_jaccard_join, op5_packing, op6_voronoi_top_k, op7_pseudonyms, op8_warc_chunks, op9_toxicity, op10_id_files, op11_phrase_collocations, op12_class_lm, op13_periodic_runs)
 }
 
 #: Components are walked from the links; a pair is compared only if its vectors may reach the threshold.
