@@ -16,6 +16,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from . import common as C
+
+#: Bytes of a row group and of an Arrow batch where rows are large.
+HELD = 8 << 20
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers below 2**32 and of equal length: their bytes by significance, compressed."""
@@ -68,6 +73,14 @@ def by_piece(pieces: DataFrame, answers: DataFrame, go_on: Callable[[dict, list[
     return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(resumed, schema)
 
 
+def written_pieces(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table whose rows hold megabytes each: small row groups and Arrow batches keep few of them in memory."""
+    spark, path = df.sparkSession, C.new_folder(df.sparkSession, name)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(HELD))
+    df.write.option("parquet.block.size", HELD).option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _types(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

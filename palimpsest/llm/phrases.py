@@ -33,7 +33,7 @@ LEAST, ABSORBED = 10, 50
 #: Score of a phrase whose parts occur nowhere else.
 SCALE = 1_000_000
 #: Bytes of a piece, and n-grams that meet in a bucket.
-PIECE, BUCKET = 8 << 20, 8 << 20
+PIECE, BUCKET = 3 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FOLDED = bytes(
@@ -191,7 +191,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = LEAST, bits: int | No
     ``bits`` of a fingerprint follow the size of the corpus where they are not given.
     """
     C.prepare(docs.sparkSession)
-    table = C.written(pieces(docs, piece), "pieces")
+    table = X.written_pieces(pieces(docs, piece), "pieces")
     size = table.agg(F.sum(F.length("body"))).first()[0] or 0
     bits = bits or min(60, max(16, X.power_of_two(size * longest / 3)))  # about twice as many fingerprints as n-grams
     high = min(bits, X.power_of_two(size * longest / 6 / BUCKET))
