@@ -1,6 +1,6 @@
 """Queries over the given tables, one module per operator family."""
 
-from . import findings, rules, structure, tokens, verdicts  # noqa: F401
+from . import annotated, findings, rules, structure, tokens, verdicts  # noqa: F401
 from .core import ORACLE, QUERIES, with_stages
 
 
