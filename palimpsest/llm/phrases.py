@@ -21,6 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,8 +65,8 @@ def _cut(body: bytes, size: int) -> Iterator[bytes]:
 
 
 def pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
-    """piece, lang, body, words: texts of a language, one after the other, about ``size`` bytes each."""
-    types = pa.schema([("piece", pa.int64()), ("lang", pa.string()), ("body", pa.binary()), ("words", pa.int64())])
+    """piece, lang, body (compressed), size, words: texts of a language, one after the other, about ``size`` bytes each."""
+    types = pa.schema([("piece", pa.int64()), ("lang", pa.string()), ("body", pa.binary()), ("size", pa.int64()), ("words", pa.int64())])
 
     def gather(batches):
         held: dict[str, list[bytes]] = {}
@@ -76,7 +78,8 @@ def pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
             body = b"\n".join(held.pop(lang))
             del sizes[lang]
             number += 1
-            return C.batch(types, [number - 1], [lang], [body], [len(body.split())])
+            packed = zstandard.ZstdCompressor(level=3).compress(body)
+            return C.batch(types, [number - 1], [lang], [packed], [len(body)], [len(body.split())])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -91,7 +94,11 @@ def pieces(docs: DataFrame, size: int = PIECE) -> DataFrame:
             yield emit(lang)
 
     known = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
-    return known.mapInArrow(gather, "piece long, lang string, body binary, words long")
+    return known.mapInArrow(gather, "piece long, lang string, body binary, size long, words long")
+
+
+def _plain(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
 
 
 @lru_cache(maxsize=2)
@@ -192,7 +199,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = LEAST, bits: int | No
     """
     C.prepare(docs.sparkSession)
     table = X.written_pieces(pieces(docs, piece), "pieces")
-    size = table.agg(F.sum(F.length("body"))).first()[0] or 0
+    size = table.agg(F.sum("size")).first()[0] or 0
     bits = bits or min(60, max(16, X.power_of_two(size * longest / 3)))  # about twice as many fingerprints as n-grams
     high = min(bits, X.power_of_two(size * longest / 6 / BUCKET))
     low = np.uint64(bits - high)
@@ -203,7 +210,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = LEAST, bits: int | No
     def send(batches):
         for b in batches:
             for number, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                distinct, times = np.unique(Grams(body, longest, bits).marks, return_counts=True)
+                distinct, times = np.unique(Grams(_plain(body), longest, bits).marks, return_counts=True)
                 at, rows = cuts(distinct), []
                 for k in np.flatnonzero(np.diff(at)).tolist():
                     own = slice(at[k], at[k + 1])
@@ -223,7 +230,7 @@ def counts(docs: DataFrame, longest: int = 3, least: int = LEAST, bits: int | No
             yield number, bucket, np.packbits(often[X.unpack_rising(data.as_py(), 2)[0]]).tobytes()
 
     def resolve(own, answers):
-        grams = Grams(own["body"], longest, bits)
+        grams = Grams(_plain(own["body"]), longest, bits)
         distinct = np.unique(grams.marks)
         at = cuts(distinct)
         often = np.zeros(len(distinct), bool)
@@ -233,14 +240,15 @@ def counts(docs: DataFrame, longest: int = 3, least: int = LEAST, bits: int | No
         chosen = distinct[often]
         place = np.minimum(np.searchsorted(chosen, grams.marks), max(0, len(chosen) - 1))
         grams.keep(chosen[place] == grams.marks if len(chosen) else np.zeros(len(grams.marks), bool))
-        rows, times, n = grams.counted()
-        langs = pa.DictionaryArray.from_arrays(np.zeros(len(rows), np.int32), [own["lang"]]).cast(pa.string())
-        return pa.table([langs, pa.array(n, pa.int32()), grams.texts(rows), pa.array(times, pa.int64())], names=["lang", "n", "phrase", "count"])
+        rows, times, _ = grams.counted()
+        return pa.table([pc.binary_join_element_wise(own["lang"], grams.texts(rows), "\n"), pa.array(times, pa.int64())], names=["key", "count"])
 
     marked = table.select("piece", "body").mapInArrow(send, "bucket long, piece long, marks binary")
     answers = C.written(X.by_bucket(marked, frequent, "piece long, bucket long, often binary"), "frequent")
-    found = X.by_piece(table, answers, resolve, "lang string, n int, phrase string, count long")
-    every = found.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    found = X.by_piece(table.select("piece", "lang", "body"), answers, resolve, "key string, count long")
+    every = found.groupBy("key").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+    phrase = F.substring_index("key", "\n", -1)
+    every = every.select(F.expr("substr(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), F.size(F.split(phrase, " ")).alias("n"), phrase.alias("phrase"), "count")
     return C.written(every, "phrases"), table.groupBy("lang").agg(F.sum("words").alias("words"))
 
 
