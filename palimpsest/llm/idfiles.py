@@ -32,7 +32,7 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("bytes", pa
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from the documents of smallest id hash; empty if the sample is too small to train one."""
+    """A dictionary from about ``SAMPLE_DOCS`` documents drawn by hash; empty if the sample is too small to train one."""
     import zstandard
 
     schema = pa.schema([("ids", pa.binary())])
@@ -42,7 +42,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
         for b in batches:
             yield C.batch(schema, [_serial(_ended(x, end_id))[0][:SAMPLE_BYTES] for x in own.packed(C.texts(b.column(0)))])
 
-    chosen = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     samples = [r[0] for r in chosen.select("text").mapInArrow(run, "ids binary").collect()]  # bounded by the two sample limits
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
