@@ -27,6 +27,8 @@ STEMS = (0, 5, 6, 7)
 LEAST_SHARE, LEAST_LIFT, LEAST_TEXTS = 0.02, 5.0, 5
 #: Voters that are kept, terms that are counted in clean texts, texts that the classifier is fitted on.
 VOTERS, CANDIDATES, SAMPLE_TEXTS = 20, 20_000, 20_000
+#: Labelled documents that the voters and the label model learn from: drawn by hash, about so many at most.
+LABELS = 200_000
 #: A pattern votes toxic from this many hits and this rate on; a lone hit is enough at the other rate.
 PATTERN_HITS, PATTERN_RATE, LONE_RATE = 2, 0.006, 0.04
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -159,12 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE_
     """The model from all texts of ``docs`` (doc_id, text) and the labels (doc_id, toxic) of documents for which ``learn`` holds.
 
     Contradicting labels of a document count as toxic. Without labels of both
-    kinds there are no voters and every text scores the same, below 0.5.
+    kinds there are no voters and every text scores the same, below 0.5. At most about
+    ``LABELS`` labelled documents are learned from; their ids go to the texts, no text to its label.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = C.written(docs.where(learn).select("doc_id", "text").join(marks, "doc_id").select("text", "toxic"), "labelled")
+    marks = C.written(marks, "labels")
+    share = min(1.0, LABELS / max(1, marks.count()))
+    drawn = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    labelled = C.written(docs.where(learn).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic"), "labelled")
     terms = find_terms(labelled)
     if not terms:
         return Model((), np.zeros((0, 2)), np.zeros((0, 0)), np.array([-3.0]))
@@ -206,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE_
     # The sample for the classifier: texts by hash, and as many of those with a vote.
     drawn = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("h")).where(F.col("h") < min(1.0, sample / max(total, 1)) * (1 << 20))
     found = drawn.select("text").mapInArrow(features, "x binary, votes binary").collect()
-    marked = labelled.where("toxic = 1").orderBy(F.xxhash64("text")).limit(sample // 8).select("text")
+    toxic = labelled.where("toxic = 1")
+    share = min(1.0, sample / 8 / max(1, toxic.count()))
+    marked = toxic.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("text")
     found += marked.mapInArrow(features, "x binary, votes binary").collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in found], float)
     y = np.array([posterior[bytes(r["votes"])] for r in found])
