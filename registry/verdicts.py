@@ -431,12 +431,12 @@ def e26b(spark, sf):
 # A fact per paragraph: who (first word), how long (length of the paragraph), and a quote from its middle.
 stage(
     "facts",
-    r"""SELECT doc_id, paragraph, regexp_extract(text, '[\p{L}]+', 0) AS entity, 'tamanho' AS aspect, (length(text) // 100)::VARCHAR AS value, substr(text, length(text) // 2, 20) AS excerpt, paragraph % 2 = 0 AS is_new FROM paragraphs WHERE length(text) >= 40""",
+    r"""SELECT doc_id, paragraph, regexp_extract(text, '[\p{L}]+', 0) AS entity, 'tamanho' AS aspect, (length(text) // 100)::VARCHAR AS value, substr(text, length(text) // 2, 20) AS excerpt, paragraph % 2 = 0 AS is_new FROM paragraphs""",
 )
 
 
 def facts(spark, sf) -> DataFrame:
-    return paragraphs(spark, sf).where(F.char_length("text") >= 40).select(
+    return paragraphs(spark, sf).select(
         "doc_id",
         "paragraph",
         F.regexp_extract("text", r"[\p{L}]+", 0).alias("entity"),
@@ -517,7 +517,7 @@ def confirmed(spark, sf) -> DataFrame:
     """Neighbouring facts of a document as confirmed contradictions."""
     w = Window.partitionBy("doc_id").orderBy("paragraph")
     side = F.lead(F.struct("paragraph", "excerpt")).over(w)
-    rows = facts(spark, sf).select("doc_id", F.col("paragraph").alias("a_paragraph"), F.col("excerpt").alias("a_excerpt"), side.alias("_b")).where("_b IS NOT NULL AND a_paragraph % 4 IN (1, 2)")
+    rows = facts(spark, sf).select("doc_id", F.col("paragraph").alias("a_paragraph"), F.col("excerpt").alias("a_excerpt"), side.alias("_b")).where("_b IS NOT NULL")
     level = F.when(F.col("a_paragraph") % 3 == 0, "alta").when(F.col("a_paragraph") % 3 == 1, "media").otherwise("baixa")
     return rows.select(
         "doc_id", F.col("a_paragraph").alias("ord"), "a_paragraph", "a_excerpt", F.col("_b.paragraph").alias("b_paragraph"), F.col("_b.excerpt").alias("b_excerpt"),
