@@ -5,7 +5,9 @@ chance of one in (threshold x size), by a hash that all sets share, and meets in
 the bucket of an n-gram the sets that chose it too. Buckets of few sets are
 compared by brute force; the others are split again by further n-grams, down to
 a last level whose buckets are compared in blocks. The number of runs follows from
-the recall that is asked for.
+the recall that is asked for: a pair that meets in a small bucket needs the first
+level only, so few runs serve all sets; those in larger buckets, whose pairs must
+meet at every level, go through further runs among themselves.
 
 Texts with equal n-gram sets are one class from the start. Within the buckets, a
 pair belongs to the smallest bucket that it shares; a sketch first picks the
@@ -31,6 +33,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import blocks as B
 from . import common as C
 
+#: A pair at the threshold is missed once in a million, by the first runs and by the further ones each.
 WORDS, THRESHOLD, RECALL, LEVELS = 5, 0.8, 1 - 1e-6, 3
 #: Sets in a bucket that is not split further; members in a chunk of a bucket for the sketches, and for the exact comparison.
 SMALL_BUCKET, SKETCH_CHUNK, CHUNK = 128, 512, 128
@@ -52,6 +55,11 @@ def runs_for(recall: float, levels: int = LEVELS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def _runs(first: int, end: int) -> np.ndarray:
+    """The names that stand above the first level in these runs."""
+    return _mix(np.arange(first + 1, end + 1, dtype=np.uint64))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * _A
     x ^= x >> np.uint64(32)
@@ -114,7 +122,7 @@ def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> D
     """Per row its id, the hash of its text, the name and size of its n-gram set, sketch and paths of the first level."""
     shape = "doc_id long, text_hash long, id binary, size int, sketch binary, path array<long>"
     schema = to_arrow_schema(StructType.fromDDL(shape))
-    runs = _mix(np.arange(1, runs_for(recall) + 1, dtype=np.uint64))
+    runs = _runs(0, runs_for(recall, 1))
 
     def run(batches):
         grams_of = Shingler(words)
@@ -132,43 +140,67 @@ def _shingled(docs: DataFrame, words: int, threshold: float, recall: float) -> D
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, shape)
 
 
-def _deeper(docs: DataFrame, classes: DataFrame, nodes: DataFrame, threshold: float, words: int) -> DataFrame:
-    """level, above, key and id of the paths below ``nodes`` (key, id), found again from the texts: few sets need them."""
+def _deeper(docs: DataFrame, classes: DataFrame, nodes: DataFrame, further: np.ndarray, threshold: float, words: int) -> DataFrame:
+    """level, above, key and id of the paths below ``nodes`` (key, id), found again from the texts: few sets need them.
+
+    Level 0 holds these sets' first paths in the ``further`` runs.
+    """
     shape = "level int, above long, key long, id binary"
     schema = to_arrow_schema(StructType.fromDDL(shape))
     members = nodes.groupBy("id").agg(F.collect_set("key").alias("tops")).join(classes.select("id", "first"), "id")
 
     def run(batches):
         grams_of = Shingler(words)
+
+        def listed(level: int, grams: np.ndarray, above: np.ndarray, name: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+            rows, below = paths(grams, above, level, threshold)
+            return C.batch(schema, [level] * len(below), above[rows].view(np.int64), below.view(np.int64), [name] * len(below)), below
+
         for b in batches:
             for name, tops, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 grams, above = grams_of(text), np.array(tops, np.int64).view(np.uint64)
+                if len(further):
+                    yield listed(0, grams, further, name)[0]
                 for level in range(1, LEVELS):
-                    rows, below = paths(grams, above, level, threshold)
-                    if len(below):
-                        yield C.batch(schema, [level] * len(below), above[rows].view(np.int64), below.view(np.int64), [name] * len(below))
-                    above = below
+                    found, above = listed(level, grams, above, name)
+                    yield found
 
     return _texts(docs, members).select("id", "tops", "text").mapInArrow(run, shape)
 
 
-def _buckets(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
-    """key and id of the buckets with two sets or more that are compared: small ones of any level, all of the last."""
+def _buckets(docs: DataFrame, classes: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
+    """key and id of the buckets with two sets or more that are compared: small ones of any level, all of the last.
+
+    Pairs that share a small bucket are met in the first runs. The others share
+    large ones only, so both their sets take part in the further runs.
+    """
+    further = _runs(runs_for(recall, 1), runs_for(recall))
+    first, deep = _split(docs, classes, classes.select("id", F.explode("path").alias("key")), further, threshold, words)
+    again, _ = _split(docs, classes, deep.where("level = 0").select("id", "key"), further[:0], threshold, words)
+    return first.unionByName(again)
+
+
+def _split(docs: DataFrame, classes: DataFrame, nodes: DataFrame, further: np.ndarray, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """The buckets to compare from the paths of the first level (``nodes``) down, and what ``_deeper`` found for the large ones."""
     found, deep = [], None
-    nodes = classes.select("id", F.explode("path").alias("key"))
     for level in range(LEVELS):
         sizes = C.written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         last = level == LEVELS - 1
-        found.append(nodes.join(sizes if last else sizes.where(F.col("n") <= SMALL_BUCKET), "key").select("key", "id"))
-        if not last:
-            large = sizes.where(F.col("n") > SMALL_BUCKET).select("key")
-            if deep is None:
-                deep = C.written(_deeper(docs, classes, nodes.join(large, "key"), threshold, words), "deeper")
-            nodes = deep.where(F.col("level") == level + 1).join(large.withColumnRenamed("key", "above"), "above").select("key", "id").distinct()
+        found.append(nodes.join(sizes if last else sizes.where(F.col("n") <= SMALL_BUCKET), "key", "left_semi").select("key", "id"))
+        if last:
+            break
+        large = sizes.where(F.col("n") > SMALL_BUCKET).select("key")
+        if level:
+            nodes = deep.where(F.col("level") == level + 1).join(large.withColumnRenamed("key", "above"), "above", "left_semi")
+        else:
+            # All of these lie below a large bucket.
+            deep = C.written(_deeper(docs, classes, nodes.join(large, "key", "left_semi"), further, threshold, words), "deeper")
+            nodes = deep.where("level = 1")
+        nodes = nodes.select("key", "id").distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, deep
 
 
 class _Bucket:
@@ -252,7 +284,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
     kept = [F.first(c).alias(c) for c in rows.columns[3:]]
     classes = C.written(rows.where("id is not null").groupBy("id").agg(first, F.count(F.lit(1)).alias("copies"), *kept), "classes")
-    found = C.written(_linked(docs, classes, threshold, words), "links")
+    found = C.written(_linked(docs, classes, threshold, words, recall), "links")
     roots = C.written(B.components(found.where("mate is not null").select(F.col("id").alias("a"), F.col("mate").alias("b"))), "roots")
     counts = _counted(docs, classes, roots, threshold, words).groupBy("id").agg(F.sum("links").alias("links"))
     least = roots.join(classes.select(F.col("id").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("component"))
@@ -270,9 +302,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     )
 
 
-def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, threshold: float, words: int, recall: float) -> DataFrame:
     """id, links, mate of the classes that link with another."""
-    buckets = C.written(_buckets(docs, classes, threshold, words), "buckets")
+    buckets = C.written(_buckets(docs, classes, threshold, words, recall), "buckets")
     known = classes.select("id", "first", "copies", "size", "sketch").join(buckets.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("buckets")), "id")
     known = C.written(known, "members")
     # Of its other buckets a row takes along those before the bucket: they alone decide whose a pair is.
