@@ -13,11 +13,16 @@ phone      a country code and ten digits, or ten digits in groups       the ten
 abroad     + and country code, then groups of 7 to 14 digits; 0n in pairs  the digits after the country code or 0
 ssn        area 001-899 without 666, group 01-99, serial 0001-9999      the valid numbers
 ipv4       four parts of 0 to 255                                       32 bits
-date       a calendar date of 1900 to 2099 (y-m-d, d/m/y or m/d/y)      those days
+date       a calendar date of 1900 to 2099 (y-m-d, d/m/y, d.m.y, m/d/y)  those days, up to the 12th and after it apart
 email      local part and domain                                        digest; domain ``mail.invalid``
 token      32 to 64 hexadecimal digits with a letter                    digest of the same length and case
 =========  ==========================================================  =====================
 
+A slashed date that reads both ways is day before month, so a day that is written
+month first and read so lies after the 12th of its month. As days up to the 12th
+and the others are permuted apart, its pseudonym reads that way only, too: a day has
+one pseudonym in all forms, and in each form different days have different ones.
+
 Text between the values stays as it is, to the character.
 """
 
@@ -68,12 +73,12 @@ def _feistel(value: Column, a: Column, b: Column, key: str, tweak: Column) -> Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s.l * b + s.r)
 
 
-def _within(value: Column, size: int, key: str, tweak: str) -> Column:
-    """Permutes 0 .. size - 1: out of range, the permutation is walked on until it is back."""
+def _within(value: Column, size: int, key: str, tweak: str, valid: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
+    """Permutes the valid ones of 0 .. size - 1: elsewhere, the permutation is walked on until it is back."""
     a = int(size**0.5) + 1
     b = -(-size // a)
     turn = lambda v: _feistel(v, _long(a), _long(b), key, F.lit(tweak))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), turn(value), lambda v, _: F.when(v < size, v).otherwise(turn(v)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), turn(value), lambda v, _: F.when((v < size) & valid(v), v).otherwise(turn(v)))
 
 
 def _digits_permuted(digits: Column, key: str, tweak: Column) -> Column:
@@ -144,18 +149,39 @@ def _ipv4(value: Column, key: str) -> Column:
     return F.concat_ws(".", *[F.pmod(F.floor(new / 256**k).cast("long"), F.lit(256)).cast("string") for k in (3, 2, 1, 0)])
 
 
+def _day_permuted(day: Column, key: str) -> Column:
+    """year * 10000 + month * 100 + day of another day, in the same part of its month: up to the 12th, or after it."""
+
+    def part(first: int, days: int, tweak: str) -> Column:
+        dated = lambda v: (F.floor(v / (12 * days)).cast("int") + 1900, F.pmod(F.floor(v / days), F.lit(12)).cast("int") + 1, F.pmod(v, F.lit(days)).cast("int") + first)
+
+        def valid(v: Column) -> Column:
+            year, month, of_month = dated(v)
+            return of_month <= F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+
+        def written(v: Column) -> Column:
+            year, month, of_month = dated(v)
+            return year * 10_000 + month * 100 + of_month
+
+        place = ((F.year(day) - 1900) * 12 + F.month(day) - 1) * days + F.dayofmonth(day) - first
+        new = _within(place.cast("long"), 200 * 12 * days, key, tweak, valid)
+        return F.transform(F.array(new), written)[0]
+
+    return F.when(F.dayofmonth(day) <= 12, part(1, 12, "date")).otherwise(part(13, 19, "late date"))
+
+
 def _date(value: Column, key: str) -> Column:
     """Invalid dates stay as they are; day before month is preferred where both read."""
-    first, size = F.to_date(F.lit("1900-01-01")), 73_049
+    by = lambda form: F.try_to_timestamp(value, F.lit(form)).cast("date")
+    dashed, dotted, day_first = value.rlike("^[0-9]{4}-"), value.contains("."), by("dd/MM/yyyy")
+    day = F.when(dashed, by("yyyy-MM-dd")).when(dotted, by("dd.MM.yyyy")).otherwise(F.coalesce(day_first, by("MM/dd/yyyy")))
 
-    def by(form: str, otherwise: Column) -> Column:
-        day = F.try_to_timestamp(value, F.lit(form)).cast("date")
-        new = F.date_add(first, _within(F.datediff(day, first).cast("long"), size, key, "date").cast("int"))
-        return F.when(day.isNotNull(), F.date_format(new, form)).otherwise(otherwise)
+    def written(n: Column) -> Column:
+        year, month, of_month = (F.lpad(x.cast("string"), w, "0") for x, w in ((F.floor(n / 10_000), 4), (F.pmod(F.floor(n / 100), F.lit(100)), 2), (F.pmod(n, F.lit(100)), 2)))
+        slashed = F.when(day_first.isNotNull(), F.concat_ws("/", of_month, month, year)).otherwise(F.concat_ws("/", month, of_month, year))
+        return F.when(dashed, F.concat_ws("-", year, month, of_month)).when(dotted, F.concat_ws(".", of_month, month, year)).otherwise(slashed)
 
-    dashed, slashed = by("yyyy-MM-dd", value), by("dd/MM/yyyy", by("MM/dd/yyyy", value))
-    dotted = by("dd.MM.yyyy", value)
-    return F.when(value.rlike("^[0-9]{4}-"), dashed).when(value.contains("/"), slashed).otherwise(dotted)
+    return F.when(day.isNull(), value).otherwise(F.transform(F.array(_day_permuted(day, key)), written)[0])
 
 
 def _email(value: Column, key: str) -> Column:
