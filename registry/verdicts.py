@@ -277,7 +277,7 @@ def e27(spark, sf):
 
 
 def quiet_findings(spark, sf) -> DataFrame:
-    """Findings whose pairs stay few: one kind per query of the pairwise form."""
+    """Findings whose pairs stay few, for the pairwise form alone."""
     return own_findings(spark, sf).where(F.col("rule") == "frase_cortada")
 
 
@@ -383,15 +383,15 @@ def g09(spark, sf):
 
 # ---- retrieval --------------------------------------------------------------------------------
 def _asked(spark, sf) -> DataFrame:
-    """One request per missing stop or open ending: its two neighbouring words are the terms."""
-    lines = quiet_findings(spark, sf).withColumn("chapter", F.lit("1")).withColumn("reason", F.col("category"))
+    """One request per finding: the two words before it are the terms."""
+    lines = own_findings(spark, sf).withColumn("chapter", F.lit("1")).withColumn("reason", F.col("category"))
     before = F.regexp_extract_all(F.lower(F.substring("text", F.lit(1), F.col("start"))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return lines.withColumn("terms", F.slice(F.reverse(before), 1, 2))
 
 
 @query(
     "e25_retrieve_by_terms",
-    r"""WITH i AS (SELECT doc_id, finding_id, paragraph, list_filter(list_reverse(regexp_extract_all(lower(substr(text, 1, "start")), '[\p{L}\p{N}_]+'))[1:2], lambda t: length(t) >= 3) AS terms FROM findings WHERE rule = 'frase_cortada'),
+    r"""WITH i AS (SELECT doc_id, finding_id, paragraph, list_filter(list_reverse(regexp_extract_all(lower(substr(text, 1, "start")), '[\p{L}\p{N}_]+'))[1:2], lambda t: length(t) >= 3) AS terms FROM findings),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph) AS seq FROM paragraphs),
 c AS (SELECT i.doc_id, i.finding_id, p.paragraph, sum(length(p.text)) OVER (PARTITION BY i.doc_id, i.finding_id ORDER BY abs(p.paragraph - i.paragraph), p.paragraph ROWS UNBOUNDED PRECEDING) AS total
  FROM i JOIN s me ON me.doc_id = i.doc_id AND me.paragraph = i.paragraph JOIN s p ON p.doc_id = i.doc_id AND abs(p.seq - me.seq) > 2 AND len(list_filter(i.terms, lambda t: contains(lower(p.text), t))) > 0)
@@ -411,7 +411,7 @@ _KEYS_SQL = "list_distinct(list_transform(list_filter(regexp_extract_all(transla
     rf"""WITH s AS (SELECT doc_id, paragraph, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph) AS seq, count(*) OVER (PARTITION BY doc_id) AS n, {_KEYS_SQL.format(c='text')} AS keys FROM paragraphs),
 k AS (SELECT doc_id, paragraph, seq, n, unnest(keys) AS key FROM s), d AS (SELECT doc_id, key, count(*) AS df, any_value(n) AS n FROM k GROUP BY ALL HAVING count(*) <= greatest(3, any_value(n) // 6)),
 i AS (SELECT doc_id, finding_id, paragraph, unnest(list_concat(list_concat(list_transform({_KEYS_SQL.format(c="array_to_string(list_reverse(regexp_extract_all(lower(substr(text, 1, start)), '[\p{L}\p{N}_]+'))[1:2], ' ')")}, lambda x: {{'key': x, 'w': 3}}),
-  list_transform({_KEYS_SQL.format(c='substr(text, "start" + 1, "end" - "start")')}, lambda x: {{'key': x, 'w': 2}})), list_transform({_KEYS_SQL.format(c='category')}, lambda x: {{'key': x, 'w': 1}}))) AS q FROM findings WHERE rule = 'frase_cortada'),
+  list_transform({_KEYS_SQL.format(c='substr(text, "start" + 1, "end" - "start")')}, lambda x: {{'key': x, 'w': 2}})), list_transform({_KEYS_SQL.format(c='category')}, lambda x: {{'key': x, 'w': 1}}))) AS q FROM findings),
 u AS (SELECT doc_id, finding_id, paragraph, q.key AS key, max(q.w) AS w FROM i GROUP BY ALL)
 SELECT u.doc_id, u.finding_id, k.paragraph, round(sum(u.w * ln(1 + d.n / d.df)) * CASE WHEN k.paragraph < u.paragraph THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6) AS score
 FROM u JOIN s me ON me.doc_id = u.doc_id AND me.paragraph = u.paragraph JOIN k ON k.doc_id = u.doc_id AND k.key = u.key AND abs(k.seq - me.seq) > 2 JOIN d ON d.doc_id = u.doc_id AND d.key = u.key GROUP BY u.doc_id, u.finding_id, u.paragraph, k.paragraph""",
