@@ -156,3 +156,33 @@ def test_checker_filter(spark):
     lexicon = spark.createDataFrame([("o", 32)], "word string, flags int")
     out = E.filter_checker_matches(spark.createDataFrame(rows, schema), paras, names, names.where("false"), none, lexicon).collect()
     assert [(r.excerpt, r.confidence) for r in out] == [("taser", "baixa")]
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("que que que fim", [("que que", 0, 7), ("que que", 4, 11)]),
+        ("Ele ele, disse disse", [("Ele ele", 0, 7), ("disse disse", 9, 20)]),
+        ("o a a. fim", []),
+        ("dá-a a eles", []),
+        ("que \n que. Sim", [("que \n que", 0, 9)]),
+    ],
+)
+def test_doubled_words_read_what_follows_up_to_the_next_pair(spark, text, expected):
+    rows = R.doubled_words(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start").collect()
+    assert [(r.excerpt, r.start, r.end) for r in rows] == expected
+    plan = R.apply_rules(classified(spark, text), [R.DOUBLED_SYMBOL])._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?!)" not in plan  # no search over the text around each match of a rule that asks for none
+
+
+def test_light_findings_are_computed_once(spark, tmp_path):
+    from registry import findings as X
+
+    docs = [(1, "Fim!! Ele ele saiu de. Foi!!", "pt", "a", 28), (2, "Nada aqui", "pt", "b", 9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    whole = X.own_findings(spark, str(tmp_path)).drop("text")
+    light = X.light_findings(spark, str(tmp_path))
+    assert sorted(whole.collect()) == sorted(light.collect()) and light.count() == 4
+    plan = X.routed(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and "simbolo_dobrado" not in plan.split("Relation")[-1]
