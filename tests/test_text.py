@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,26 @@ def test_accented_stop_words_stay_search_keys(spark):
     rows = spark.createDataFrame([("Não você também para outro café",), ("cafe\u0301",)], "t string")
     found = [r[0] for r in rows.select(prefix_keys(rows.t)).collect()]
     assert found == [["nao", "voce", "tambe", "cafe"], ["cafe"]]
+
+
+@pytest.mark.parametrize("x,y", [("", "a"), ("ação", "ação"), ("ação 😀!", "ação 😀?"), ("abc", "ab"), ("x", "y"), ("a" * 20_000 + "é", "a" * 20_000 + "e")])
+def test_common_prefix_of_long_texts(spark, x, y):
+    found = spark.createDataFrame([(x, y)], "x string, y string").select(T.common_prefix(F.col("x"), F.col("y")).alias("v")).first()["v"]
+    expected = next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    assert found == expected
+
+
+def test_common_prefix_of_null_is_null_and_long_changes_stay_cheap(spark):
+    df = spark.createDataFrame([(None, "a")], "x string, y string")
+    assert df.select(T.common_prefix(F.col("x"), F.col("y")).alias("v")).first()["v"] is None
+    text = "palavra " * 50_000  # one look at every place of such a text took minutes
+    begun = time.perf_counter()
+    change = one(spark, text, T.minimal_change(F.col("text"), F.concat(F.col("text"), F.lit("fim"))))
+    assert (change["start"], change["end"], change["after"]) == (len(text), len(text), "fim")
+    assert time.perf_counter() - begun < 30
+
+
+def test_match_spans_following(spark):
+    found = one(spark, "a1bb22c", S.match_spans(F.col("text"), r"\d+", following=True))
+    assert [tuple(r) for r in found] == [(1, 2, "1", "bb"), (4, 6, "22", "c")]
+    assert one(spark, "abc", S.match_spans(F.col("text"), r"\d+", following=True)) == []
