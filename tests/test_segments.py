@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,14 @@ def test_scenes_equal_loop(spark, cap):
         expected[i] = number
         size += len(t)
     assert got == expected
+
+
+def test_many_spans_of_a_paragraph_stay_linear(spark):
+    # Looking through all spans for each of their bounds took minutes for such a line.
+    begun = time.perf_counter()
+    (line,) = roles(spark, ["— " + "a — b “c” “d, — e” f " * 4_000])
+    assert "".join(t for t, _ in line) == "— " + "a — b “c” “d, — e” f " * 4_000
+    assert all(a[1] != b[1] for a, b in zip(line, line[1:], strict=False))
+    short = roles(spark, ["— " + "a — b “c” “d, — e” f " * 3])[0]
+    assert line[: len(short) - 2] == short[:-2]
+    assert time.perf_counter() - begun < 60
