@@ -1,18 +1,16 @@
 """Rules over annotated tokens: one row per token, heads by position in the document.
 
 ``tokens``: doc_id, paragraph, sent, i, idx, text, lemma, pos, dep, head, morph (map).
-Heads are bounded-hop joins inside a sentence, never graph walks over a document.
+Heads are looked up inside a sentence, never by graph walks over a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relations import _cut_lineage
 from .rules import FINITE, FUTURE, NONFINITE, NONVERB, PAST, PRESENT, speech_verb
 
 # ---- fixed values -----------------------------------------------------------------------------
@@ -63,29 +61,45 @@ def predicate_head(tokens: DataFrame) -> DataFrame:
 def ancestors(tokens: DataFrame, max_depth: int = 200) -> DataFrame:
     """Adds ``path`` (positions from the token's predicate to the root) and ``relations`` along it.
 
-    One hop per round by an equi-join on the sentence; tokens leave the frontier
-    at their root, so rounds are as many as the deepest tree has levels.
+    A sentence is gathered once, without an exchange where its document already lies together; depths come from
+    doubled jumps, so a token climbs only as far as its root.  A head outside the sentence ends its path.
     """
-    base = _cut_lineage(predicate_head(tokens))
-    links = base.where("head <> i").select(*_SENTENCE, F.col("i").alias("_node"), F.col("head").alias("_up"), F.col("dep").alias("_dep"))
-    frontier = base.select(*_SENTENCE, "i", F.col("predicate").alias("_node"), F.lit(None).cast("string").alias("_dep"), F.lit(0).alias("_k"))
-    seen = [frontier]
-    for depth in range(1, max_depth + 1):
-        hop = frontier.select(*_SENTENCE, "i", "_node").join(links, [*_SENTENCE, "_node"])
-        frontier = _cut_lineage(hop.select(*_SENTENCE, "i", F.col("_up").alias("_node"), "_dep", F.lit(depth).alias("_k")))
-        if frontier.isEmpty():
-            break
-        seen.append(frontier)
-    else:
-        raise ValueError("heads form a cycle or a tree deeper than max_depth")
-    steps = reduce(DataFrame.unionByName, seen)
-    walked = steps.groupBy(*_SENTENCE, "i").agg(F.array_sort(F.collect_list(F.struct("_k", "_node", "_dep"))).alias("_w"))
-    return (
-        base.join(walked, [*_SENTENCE, "i"])
-        .withColumn("path", F.transform("_w", lambda w: w["_node"]))
-        .withColumn("relations", F.transform(F.slice("_w", F.lit(2), F.size("_w")), lambda w: w["_dep"]))
-        .drop("_w")
-    )
+    base = predicate_head(tokens)
+    maps = [f.name for f in base.schema if f.dataType.typeName() == "map"]
+    first = ["i", *[c for c in base.columns if c not in {"i", *_SENTENCE}]]
+    flat = F.struct(*[(F.map_entries(c) if c in maps else F.col(c)).alias(c) for c in first])  # maps have no order
+    lines = base.groupBy(*_SENTENCE).agg(F.array_sort(F.collect_list(flat)).alias("_t"))
+    lines = lines.withColumn("_ids", F.transform("_t", lambda x: x["i"]))
+
+    def place(position: Column) -> Column:
+        """Where a position stands in the sentence; null outside it."""
+        near = position - F.col("_ids")[0]
+        found = F.array_position("_ids", position).cast("int")
+        return F.when(F.get("_ids", near) == position, near).when(found > 0, found - 1)
+
+    up = F.transform("_t", lambda x, k: F.coalesce(place(x["head"]), k))
+    lines = lines.withColumn("_up", up)
+    jump = F.struct(F.col("_up").alias("to"), F.transform("_up", lambda u, k: (u != k).cast("int")).alias("far"))
+    twice = lambda a, _: F.struct(
+        F.transform(a["to"], lambda j: a["to"][j]).alias("to"), F.zip_with(a["far"], a["to"], lambda far, j: far + a["far"][j]).alias("far"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_t"))).cast("int"))
+    lines = lines.withColumn("_j", F.aggregate(rounds, jump, twice))
+    astray = F.exists("_j.to", lambda j: F.col("_up")[j] != j) | (F.array_max("_j.far") > max_depth)
+    lines = lines.withColumn("_j", F.when(astray, F.raise_error(F.lit("heads form a cycle or a tree deeper than max_depth"))).otherwise(F.col("_j")))
+
+    def hop(a: Column, _: Column) -> Column:
+        x = F.get("_t", a["at"])
+        stay = F.struct(F.lit(None).cast("int").alias("at"), a["path"].alias("path"), a["relations"].alias("relations"))
+        on = F.struct(place(x["head"]).alias("at"), F.concat(a["path"], F.array(x["head"])).alias("path"), F.concat(a["relations"], F.array(x["dep"])).alias("relations"))
+        return F.when(a["at"].isNull() | (x["head"] == x["i"]), stay).otherwise(on)
+
+    def climb(x: Column) -> Column:
+        start = F.struct(place(x["predicate"]).alias("at"), F.array(x["predicate"]).alias("path"), F.array().cast("array<string>").alias("relations"))
+        return F.aggregate(F.sequence(F.lit(0), F.coalesce(F.get("_j.far", place(x["predicate"])), F.lit(0))), start, hop)
+
+    walked = lines.withColumn("_w", F.transform("_t", climb)).select(*_SENTENCE, F.explode(F.arrays_zip("_t", "_w")).alias("_z"))
+    column = lambda c: (F.map_from_entries(f"_z._t.{c}") if c in maps else F.col(f"_z._t.{c}")).alias(c)
+    return walked.select(*[c if c in _SENTENCE else column(c) for c in base.columns], F.col("_z._w.path").alias("path"), F.col("_z._w.relations").alias("relations"))
 
 
 def nearest_anchor(tokens: DataFrame, anchors: DataFrame) -> DataFrame:

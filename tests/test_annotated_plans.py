@@ -10,6 +10,7 @@ from palimpsest.operators import clauses as Q
 from palimpsest.operators import fragments as G
 from palimpsest.operators import narrative as N
 from palimpsest.operators import syntax as X
+from palimpsest.operators import tokens as K
 
 from .test_annotated import SCHEMA
 
@@ -46,3 +47,19 @@ def test_two_sentences_share_a_paragraph(spark):
     rows = [(1, 0, s, 3 * s + k, 0, "w", "w", "NOUN", "x", 3 * s, 0, {}) for s in range(2) for k in range(3)]
     t = X.with_heads(X.kids(spark.createDataFrame(rows, SCHEMA), "text"), "text").orderBy("i").collect()
     assert [(r["h"]["i"], [x["i"] for x in r["_kids"]]) for r in t] == [(0, [1, 2]), (0, []), (0, []), (3, [4, 5]), (3, []), (3, [])]
+
+
+def test_ancestors_stay_in_their_partition(spark):
+    heads = [2, 2, 3, 3, 9, 3]  # the fifth hangs outside the sentence
+    deps = ["det", "aux", "conj", "ROOT", "obj", "cop"]
+    rows = [(1, 0, 0, 10 + i, 0, "w", "w", "NOUN", d, 10 + h, 0, {"a": "b"}) for i, (h, d) in enumerate(zip(heads, deps, strict=True))]
+    found = K.ancestors(S.colocate(spark.createDataFrame(rows, SCHEMA)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Scan Existing" not in plan.replace("Scan ExistingRDD[doc_id", "")
+    assert [(r["path"], r["relations"], r["morph"]) for r in found.orderBy("i").collect()] == [
+        ([10, 12, 13], ["det", "conj"], {"a": "b"}), ([12, 13], ["conj"], {"a": "b"}), ([12, 13], ["conj"], {"a": "b"}), ([13], [], {"a": "b"}),
+        ([14, 19], ["obj"], {"a": "b"}), ([13], [], {"a": "b"}),
+    ]
+    chain = [(1, 0, 0, i, 0, "w", "w", "NOUN", "x", (i + 1) % 5, 0, {}) for i in range(5)]
+    with pytest.raises(Exception, match="cycle"):
+        K.ancestors(spark.createDataFrame(chain, SCHEMA)).collect()
